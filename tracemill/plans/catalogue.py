@@ -1,0 +1,6 @@
+"""Registered queries over the derived event logs, with their DuckDB counterparts."""
+
+from __future__ import annotations
+
+QUERIES: dict = {}
+ORACLE: dict = {}
