@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, mixing, quality, secrets, sharding
+from . import chat_format, mixing, ngram_join, quality, secrets, sharding
 from .common import table
 
 #: The conversation that op1 adds: control strings and an escape inside its texts.
@@ -178,9 +178,33 @@ FROM d LEFT JOIN z USING (rid)
 """
 
 
+def op8_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.similarity_join(table(spark, sf_dir, "documents"), width=4, percent=85)
+
+
+OP8_SQL = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM documents
+), s AS (
+  SELECT DISTINCT doc_id, array_to_string(ws[i:i + 3], ' ') AS g FROM w, unnest(range(1, greatest(len(ws) - 2, 2))) AS r(i) WHERE len(ws) > 0
+), n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+p AS (
+  SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS k FROM s AS a JOIN s AS b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY ALL
+), l AS (
+  SELECT a, b FROM p JOIN n AS x ON x.doc_id = a JOIN n AS y ON y.doc_id = b WHERE 100 * k >= 85 * (x.n + y.n - k)
+), e AS (SELECT a, b FROM l UNION SELECT b, a FROM l),
+c AS (SELECT doc_id AS x, doc_id AS y FROM n UNION SELECT c.x, e.b FROM c JOIN e ON e.a = c.y)
+SELECT w.doc_id, coalesce(n.n, 0) AS n_shingles, coalesce(r.m, w.doc_id) AS component_id
+FROM w LEFT JOIN n USING (doc_id) LEFT JOIN (SELECT x, min(y) AS m FROM c GROUP BY x) AS r ON r.x = w.doc_id
+"""
+
+
+QUERIES = (op1_chat_format, op2_quality_rules, op5_mixing, op6_sharding, op7_secret_scan, op8_ngram_join)
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_chat_format, op2_quality_rules, op5_mixing, op6_sharding, op7_secret_scan)}
+    return {f.__name__: f for f in QUERIES}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_chat_format": OP1_SQL, "op2_quality_rules": _op2_sql(), "op5_mixing": OP5_SQL, "op7_secret_scan": _op7_sql()}
+    return {"op1_chat_format": OP1_SQL, "op2_quality_rules": _op2_sql(), "op5_mixing": OP5_SQL, "op7_secret_scan": _op7_sql(), "op8_ngram_join": OP8_SQL}
