@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, mixing, ngram_join, quality, secrets, sharding
+from . import chat_format, line_dedup, mixing, ngram_join, quality, secrets, sharding
 from .common import table
 
 #: The conversation that op1 adds: control strings and an escape inside its texts.
@@ -199,7 +199,12 @@ FROM w LEFT JOIN n USING (doc_id) LEFT JOIN (SELECT x, min(y) AS m FROM c GROUP
 """
 
 
-QUERIES = (op1_chat_format, op2_quality_rules, op5_mixing, op6_sharding, op7_secret_scan, op8_ngram_join)
+def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = line_dedup.line_dedup(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_lines", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
+
+
+QUERIES = (op1_chat_format, op2_quality_rules, op5_mixing, op6_sharding, op7_secret_scan, op8_ngram_join, op10_line_dedup)
 
 
 def queries() -> dict:
