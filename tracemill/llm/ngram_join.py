@@ -7,8 +7,8 @@ threshold. Steps, none of which enumerates the pairs of a group:
 2. Shingles are counted over all texts. A counter is a sorted, delta-coded run of
    32-bit codes for each key range, about two bytes a shingle. Two tables of bounded
    size come of it: the most frequent codes, and a bitmap of codes seen twice.
-3. Shingles are ordered rare first. Texts that link share at least two tokens in
-   prefixes extended by one. Rare tokens are indexed singly, frequent ones by
+3. Shingles are ordered rare first. Texts that link share at least k tokens in
+   prefixes extended by k - 1; k grows from two with the length. Rare tokens are indexed singly, frequent ones by
    combinations of two; codes seen once can link nothing and are left out.
    Any order of the tokens gives complete candidates; the counts only make them few.
 4. Candidates form groups; each group's sets meet in a task, where a search over
@@ -63,9 +63,13 @@ def _each(batches, width: int):
             yield batch, first, last, textcodes.shingle_sets(data, offsets, width)
 
 
+#: The prefix is extended so that linked texts share so many tokens in it: two, and one more for each so many shingles.
+EXTEND_EACH = 50
+
+
 def _prefix(n: int, percent: int) -> int:
-    """Tokens of the prefix that is extended by one."""
-    return min(n, n - -(-n * percent // 100) + 2)
+    """Tokens of the extended prefix."""
+    return min(n, n - -(-n * percent // 100) + 2 + n // EXTEND_EACH)
 
 
 def class_rows(docs: DataFrame, width: int) -> DataFrame:
@@ -200,9 +204,11 @@ def candidate_edges(prefixes: DataFrame, percent: int) -> DataFrame:
     x = rare.select("token", F.col("cls").alias("a"), F.col("n").alias("na"), F.col("has_frequent").alias("fa"))
     y = rare.select("token", F.col("cls").alias("b"), F.col("n").alias("nb"), F.col("has_frequent").alias("fb"))
     near = (F.col("a") < F.col("b")) & (100 * F.least("na", "nb") >= percent * F.greatest("na", "nb"))
-    pairs = x.join(y, "token").filter(near).groupBy("a", "b").agg(F.count("*").alias("shared"), F.first(F.col("fa") & F.col("fb")).alias("more"))
-    # Two tokens are shared at least; the second may be a frequent one.
-    pairs = pairs.filter((F.col("shared") > 1) | F.col("more")).select("a", "b")
+    pairs = x.join(y, "token").filter(near).groupBy("a", "b").agg(
+        F.count("*").alias("shared"), F.first(F.col("fa") & F.col("fb")).alias("more"), F.first(F.least("na", "nb")).alias("n")
+    )
+    # As many tokens are shared as the shorter prefix is extended to share; some may be frequent ones.
+    pairs = pairs.filter((F.col("shared") >= 2 + F.floor(F.col("n") / EXTEND_EACH)) | F.col("more")).select("a", "b")
     combos = one.select("cls", F.explode("combos").alias("combo"))
     least = combos.groupBy("combo").agg(F.min("cls").alias("b"), F.count("*").alias("k")).filter("k > 1")
     stars = combos.join(least, "combo").select(F.col("cls").alias("a"), "b").filter("a <> b")
