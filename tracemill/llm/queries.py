@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, line_dedup, mixing, ngram_join, quality, secrets, sharding
+from . import chat_format, decontaminate, line_dedup, mixing, ngram_join, quality, secrets, sharding, suffix_dedup
 from .common import table
 
 #: The conversation that op1 adds: control strings and an escape inside its texts.
@@ -112,6 +112,15 @@ FROM j
 """
 
 
+def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.find_contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = suffix_dedup.substring_dedup(table(spark, sf_dir, "documents"), length=200)
+    return out.select("doc_id", "n_bytes", "n_removed", F.size("removed").cast("long").alias("n_spans"), "kept_sha256")
+
+
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"), mixing.quality_weights(table(spark, sf_dir, "labels")))
 
@@ -204,7 +213,7 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_lines", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
 
 
-QUERIES = (op1_chat_format, op2_quality_rules, op5_mixing, op6_sharding, op7_secret_scan, op8_ngram_join, op10_line_dedup)
+QUERIES = (op1_chat_format, op2_quality_rules, op3_decontaminate, op4_suffix_dedup, op5_mixing, op6_sharding, op7_secret_scan, op8_ngram_join, op10_line_dedup)
 
 
 def queries() -> dict:
