@@ -346,7 +346,8 @@ def substring_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     listed = found.join(often, "h").groupBy("d").agg(F.collect_set("h").alias("hs"))
 
     # The exchange of the texts by key is made once and read by both joins.
-    some = texts.withColumn("d", F.xxhash64("key")).join(listed, "d").select("key", "text", "hs")
+    keys = rows.select("key").distinct().withColumn("d", F.xxhash64("key"))
+    some = texts.join(listed.join(keys, "d").drop("d"), "key").select("key", "text", "copies", "hs")
     spans = _spans(_records(some, length), length).groupBy("key").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
     cut = _cut(texts.join(spans, "key", "left").select("key", "text", "copies", "spans"), length)
     return rows.select("doc_id", "key").join(cut, "key").drop("key")
