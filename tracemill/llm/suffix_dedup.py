@@ -103,7 +103,10 @@ def anchors(texts: DataFrame, length: int) -> DataFrame:
 
 
 def _records(texts: DataFrame, length: int) -> DataFrame:
-    """``h, key, content, left, at``: for the anchors listed in ``hs``, the bytes of all windows of each run."""
+    """``h, key, content, left, at``: for the anchors listed in ``hs``, the bytes of all windows of each run.
+
+    Rows without ``content`` are results: the text ``key`` repeats from ``at`` to ``end``.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -121,16 +124,34 @@ def _records(texts: DataFrame, length: int) -> DataFrame:
                     rows = slice(*np.searchsorted(t, [k, k + 1]))
                     keep[rows] = np.isin(hs[rows], own)
                 t, p, q, a, hs = t[keep], p[keep], q[keep], a[keep], hs[keep]
+                if not len(t):
+                    continue
                 raw = data.tobytes()
                 start = p + (shift if np.isscalar(shift) else shift[t])
-                for lo in range(0, len(t), 20_000):
-                    cut = slice(lo, lo + 20_000)
-                    content = [raw[x : y + length] for x, y in zip(p[cut].tolist(), q[cut].tolist(), strict=True)]
+                content = [raw[x : y + length] for x, y in zip(p.tolist(), q.tolist(), strict=True)]
+                # Equal records of one piece (copies of a passage, a period repeated in a text) are known to repeat:
+                # one of them goes on to meet the rest, and what they cover is a result.
+                seen: dict[tuple, int] = {}
+                of = np.array([seen.setdefault(x, i) for i, x in enumerate(zip(hs.tolist(), (a - p).tolist(), content, strict=True))])
+                twin = np.flatnonzero(np.bincount(of, minlength=len(of))[of] > 1)
+                one = np.flatnonzero(of == np.arange(len(of)))
+                for lo in range(0, len(one), 20_000):
+                    i = one[lo : lo + 20_000]
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(hs[i]), keys.take(pa.array(first + t[i])), pa.array([content[k] for k in i], pa.binary()), pa.array((a - p)[i].astype(np.int32)), pa.array(start[i]), pa.nulls(len(i), pa.int64())],
+                        ["h", "key", "content", "left", "at", "end"],
+                    )
+                if len(twin):
+                    tt, lo_, hi_ = t[twin], start[twin], start[twin] + (q - p)[twin] + length
+                    cut = np.flatnonzero(np.concatenate([[True], (tt[1:] != tt[:-1]) | (lo_[1:] > hi_[:-1])]))
+                    end = hi_[np.append(cut[1:], len(tt)) - 1]
+                    spread = textcodes.mix((lo_[cut] + end * 31 + tt[cut]).astype(np.uint64)).view(np.int64)
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(hs[cut]), keys.take(pa.array(first + t[cut])), pa.array(content, pa.binary()), pa.array((a - p)[cut].astype(np.int32)), pa.array(start[cut])], ["h", "key", "content", "left", "at"]
+                        [pa.array(spread), keys.take(pa.array(first + tt[cut])), pa.nulls(len(cut), pa.binary()), pa.nulls(len(cut), pa.int32()), pa.array(lo_[cut]), pa.array(end)],
+                        ["h", "key", "content", "left", "at", "end"],
                     )
 
-    return texts.mapInArrow(run, "h long, key binary, content binary, left int, at long")
+    return texts.mapInArrow(run, "h long, key binary, content binary, left int, at long, end long")
 
 
 def blind_trie_order(strings: list[bytes]) -> list[int]:
@@ -268,14 +289,19 @@ def _spans(records: DataFrame, length: int) -> DataFrame:
     """``key, start, end``: what the repeated windows of each record cover."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def sort(t: pa.Table) -> pa.RecordBatch:
+        def sort(t: pa.Table) -> list[pa.RecordBatch]:
+            done = t.filter(t.column("content").is_null())
+            t = t.filter(t.column("content").is_valid())
+            if not t.num_rows:
+                return done.select(["key", "at", "end"]).rename_columns(["key", "start", "end"]).combine_chunks().to_batches()
             h, left, at = (t.column(c).to_numpy() for c in ("h", "left", "at"))
             group = np.cumsum(np.concatenate([[0], h[1:] != h[:-1]]))
             lo, hi = repeated_windows(group, t.column("content").to_pylist(), left.astype(np.int64), length)
             ok = np.flatnonzero(hi >= 0)
             anchor = at[ok] + left[ok]
             keys = t.column("key").combine_chunks().take(pa.array(ok))
-            return pa.RecordBatch.from_arrays([keys, pa.array(anchor - hi[ok]), pa.array(anchor - lo[ok] + length)], ["key", "start", "end"])
+            found = pa.table([keys, pa.array(anchor - hi[ok]), pa.array(anchor - lo[ok] + length)], ["key", "start", "end"])
+            return pa.concat_tables([found, done.select(["key", "at", "end"]).rename_columns(["key", "start", "end"])]).combine_chunks().to_batches()
 
         held: list[pa.RecordBatch] = []
         rows = 0
@@ -289,10 +315,10 @@ def _spans(records: DataFrame, length: int) -> DataFrame:
                 # Whole groups are sorted now; the last one may go on in the next batch.
                 cut = int(np.flatnonzero(h != h[-1])[-1]) + 1
                 held[-1] = batch.slice(0, cut)
-                yield sort(pa.Table.from_batches(held))
+                yield from sort(pa.Table.from_batches(held))
                 held, rows = [batch.slice(cut)], batch.num_rows - cut
         if held:
-            yield sort(pa.Table.from_batches(held))
+            yield from sort(pa.Table.from_batches(held))
 
     return records.repartition("h").sortWithinPartitions("h").mapInArrow(run, "key binary, start long, end long")
 
@@ -338,14 +364,14 @@ def _cut(texts: DataFrame, length: int) -> DataFrame:
 def substring_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", length: int = 200) -> DataFrame:
     """``doc_id, n_bytes, n_removed, removed, kept_sha256`` for every row; ``removed`` has the maximal runs in bytes."""
     body = F.coalesce(F.col(text), F.lit(""))
-    rows = docs.select(F.col(doc_id).alias("doc_id"), body.alias("text"), F.unhex(F.md5(body.cast("binary"))).alias("key"))
+    rows = docs.select(F.col(doc_id).alias("doc_id"), body.alias("text"), F.unhex(F.md5(body.cast("binary"))).alias("key")).filter("key IS NOT NULL")
     texts = rows.groupBy("key").agg(F.first("text").alias("text"), F.count("*").alias("copies"))
 
     found = anchors(rows.select(F.xxhash64("key").alias("d"), "text"), length)
     often = found.groupBy("h").agg(F.min("d").alias("a"), F.max("d").alias("b"), F.max("again").alias("again")).filter("a <> b OR again").select("h")
     listed = found.join(often, "h").groupBy("d").agg(F.collect_set("h").alias("hs"))
 
-    # The exchange of the texts by key is made once and read by both joins.
+    # Both joins read the same columns of the texts by key, so that their exchange is made once.
     keys = rows.select("key").distinct().withColumn("d", F.xxhash64("key"))
     some = texts.join(listed.join(keys, "d").drop("d"), "key").select("key", "text", "copies", "hs")
     spans = _spans(_records(some, length), length).groupBy("key").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
