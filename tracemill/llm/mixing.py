@@ -62,12 +62,12 @@ def source_targets(sizes: DataFrame) -> DataFrame:
     return w.withColumn("target", F.when(F.col("full"), F.col("limit")).otherwise(F.col("w") * level)).select("source", "source_size", "target")
 
 
-def mix(docs: DataFrame, weights: DataFrame | None = None, doc_id: str = "doc_id", text: str = "text", source: str = "source", seed: int = 17) -> DataFrame:
-    """``doc_id, size, source_size, target, taken`` for every row of ``docs``.
+def mix(docs: DataFrame, weights: DataFrame | None = None, doc_id: str = "doc_id", text: str = "text", source: str = "source", seed: int = 17, carry: tuple[str, ...] = ()) -> DataFrame:
+    """``doc_id, size, source_size, target, taken`` and the columns in ``carry`` for every row of ``docs``.
 
     ``weights`` has ``doc_id, weight``, one row for an id, weights above 0.
     """
-    rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(source).alias("source"), common.word_count(F.col(text)).alias("size"))
+    rows = docs.select(*carry, F.col(doc_id).alias("doc_id"), F.col(source).alias("source"), common.word_count(F.col(text)).alias("size"))
     if weights is not None:
         w = weights.select(F.col("doc_id").alias("_id"), F.col("weight").cast("double").alias("weight"))
         rows = rows.join(w, F.col("doc_id") == F.col("_id"), "left").drop("_id")
@@ -86,10 +86,10 @@ def mix(docs: DataFrame, weights: DataFrame | None = None, doc_id: str = "doc_id
 
     w = Window.partitionBy("source", "bucket").orderBy("key", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
     near = rows.withColumn("within", F.coalesce(F.sum("size").over(w), F.lit(0)))
-    out = near.alias("r").join(plan.alias("p"), F.expr("r.source <=> p.source AND r.bucket = p.bucket")).select("r.doc_id", "r.size", "p.source_size", "p.target", "p.epochs", "p.rest", (F.col("p.ahead") + F.col("r.within")).alias("ahead"))
+    out = near.alias("r").join(plan.alias("p"), F.expr("r.source <=> p.source AND r.bucket = p.bucket")).select(*[f"r.{c}" for c in carry], "r.doc_id", "r.size", "p.source_size", "p.target", "p.epochs", "p.rest", (F.col("p.ahead") + F.col("r.within")).alias("ahead"))
     # A document is in the rest if that brings the sum nearer to it.
     picked = (F.col("rest") > 0) & (2 * F.col("ahead") + F.col("size") <= 2 * F.col("rest"))
-    return out.select("doc_id", "size", "source_size", "target", (F.col("size") * (F.col("epochs") + F.when(picked, 1).otherwise(0))).cast("long").alias("taken"))
+    return out.select(*carry, "doc_id", "size", "source_size", "target", (F.col("size") * (F.col("epochs") + F.when(picked, 1).otherwise(0))).cast("long").alias("taken"))
 
 
 def quality_weights(labels: DataFrame) -> DataFrame:

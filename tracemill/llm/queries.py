@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, decontaminate, line_dedup, mixing, ngram_join, quality, secrets, sharding, suffix_dedup
+from . import chat_format, decontaminate, line_dedup, lm_score, mixing, ngram_join, quality, secrets, sharding, suffix_dedup
 from .common import table
 
 #: The conversation that op1 adds: control strings and an escape inside its texts.
@@ -208,16 +208,22 @@ FROM w LEFT JOIN n USING (doc_id) LEFT JOIN (SELECT x, min(y) AS m FROM c GROUP
 """
 
 
+def op9_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_score.score(table(spark, sf_dir, "documents"))
+
+
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = line_dedup.line_dedup(table(spark, sf_dir, "documents"))
     return out.select("doc_id", "n_lines", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
 
 
-QUERIES = (op1_chat_format, op2_quality_rules, op3_decontaminate, op4_suffix_dedup, op5_mixing, op6_sharding, op7_secret_scan, op8_ngram_join, op10_line_dedup)
+QUERIES = (op1_chat_format, op2_quality_rules, op3_decontaminate, op4_suffix_dedup, op5_mixing, op6_sharding, op7_secret_scan, op8_ngram_join, op9_lm_score, op10_line_dedup)
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in QUERIES}
+    import corpus_pipeline
+
+    return {f.__name__: f for f in QUERIES} | {"pipeline": corpus_pipeline.run}
 
 
 def oracle_sql() -> dict[str, str]:
