@@ -29,7 +29,6 @@ import math
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -123,8 +122,8 @@ def count_codes(docs: DataFrame, width: int) -> tuple[np.ndarray, np.ndarray, np
         if held:
             yield flush(held)
 
-    def total(pdf: pd.DataFrame) -> pd.DataFrame:
-        codes = np.sort(np.concatenate([_unpack(x) for x in pdf["codes"]]))
+    def total(t: pa.Table) -> pa.Table:
+        codes = np.sort(np.concatenate([_unpack(x) for x in t.column("codes").to_pylist()]))
         at = np.flatnonzero(np.concatenate([[True], codes[1:] != codes[:-1]]))
         n = np.diff(np.append(at, len(codes)))
         codes = codes[at]
@@ -136,9 +135,11 @@ def count_codes(docs: DataFrame, width: int) -> tuple[np.ndarray, np.ndarray, np
         if len(most) > MAX_FREQUENT // RANGES:
             most = most[np.argsort(-n[most], kind="stable")[: MAX_FREQUENT // RANGES]]
             most.sort()
-        return pd.DataFrame({"range": [int(pdf["range"].iloc[0])], "bits": [np.packbits(bits).tobytes()], "codes": [codes[most].astype("<u4").tobytes()], "counts": [np.minimum(n[most], (1 << 32) - 1).astype("<u4").tobytes()]})
+        packed = np.packbits(bits).tobytes(), codes[most].astype("<u4").tobytes(), np.minimum(n[most], (1 << 32) - 1).astype("<u4").tobytes()
+        columns = [pa.array([t.column("range")[0].as_py()], pa.int32()), *(pa.array([x], pa.binary()) for x in packed)]
+        return pa.Table.from_arrays(columns, ["range", "bits", "codes", "counts"])
 
-    rows = docs.mapInArrow(partial, "range int, codes binary").groupBy("range").applyInPandas(total, "range int, bits binary, codes binary, counts binary").collect()
+    rows = docs.mapInArrow(partial, "range int, codes binary").groupBy("range").applyInArrow(total, "range int, bits binary, codes binary, counts binary").collect()
     bitmap = np.zeros((1 << BITMAP_BITS) // 8, np.uint8)
     each = len(bitmap) // RANGES
     for r in rows:
