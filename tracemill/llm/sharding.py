@@ -9,7 +9,8 @@ record its place in bytes and in rows, from which the shard and the slot follow.
 
 The law is ``bytes``: a shard ends where its share of all bytes does, so that
 two shards differ by about one record. No task holds more than a range, and
-only the splitters (``ranges - 1`` numbers) come to the driver.
+only the splitters (``ranges - 1`` numbers) come to the driver. What is broadcast has a
+row for each range, piece or shard: at most ``ranges``, two and a half times as many, and ``shards``.
 
 Defined results: a null text has no bytes and the checksum 0 of an empty text; a null id
 is hashed as such; repeated rows are interchangeable and get a place each; an
@@ -64,7 +65,7 @@ def shard(docs: DataFrame, shards: int = 40, doc_id: str = "doc_id", text: str =
     # An overfull range is subdivided by the id.
     full = placed.groupBy("range").agg(F.sum("size").alias("range_size"))
     pieces = F.greatest(F.ceil(F.col("range_size") / F.lit(2.0 * max(1.0, total / ranges))), F.lit(1)).cast("int")
-    placed = placed.join(full.select("range", pieces.alias("pieces")), "range")
+    placed = placed.join(F.broadcast(full.select("range", pieces.alias("pieces"))), "range")
     placed = placed.withColumn("piece", F.pmod("sub", F.col("pieces")).cast("int"))
 
     piece = placed.groupBy("range", "piece").agg(F.sum("size").alias("piece_size"), F.count("*").alias("piece_rows"))
@@ -76,12 +77,12 @@ def shard(docs: DataFrame, shards: int = 40, doc_id: str = "doc_id", text: str =
     )
     within = Window.partitionBy("range", "piece").orderBy("key", "sub", "doc_id").rowsBetween(Window.unboundedPreceding, -1)
     placed = placed.withColumns({"_bytes": F.coalesce(F.sum("size").over(within), F.lit(0)), "_rows": F.count("*").over(within)})
-    placed = placed.join(piece, ["range", "piece"])
+    placed = placed.join(F.broadcast(piece), ["range", "piece"])
     # The middle of a record decides, so that a record across a border goes to the nearer shard.
     middle = 2 * (F.col("bytes_ahead") + F.col("_bytes")) + F.col("size")
     placed = placed.withColumn("shard", F.least(F.floor(middle * shards / F.lit(2.0 * max(1, total))), F.lit(shards - 1)).cast("int"))
     placed = placed.withColumn("place", F.col("rows_ahead") + F.col("_rows"))
     first = placed.groupBy("shard").agg(F.min("place").alias("first_place"))
-    return placed.join(first, "shard").select(
+    return placed.join(F.broadcast(first), "shard").select(
         "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", (F.col("place") - F.col("first_place")).alias("slot"), F.lit(None).cast("int").alias("grown_shard")
     )
