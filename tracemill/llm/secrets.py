@@ -6,8 +6,8 @@ run scans each distinct blob once, with only the rules that have not seen it,
 and joins the findings back to all paths that hold the blob.
 
 Distinct blobs are found with a partial aggregation before the shuffle, so a
-group of copies leaves one row per task. Findings are joined on the blob id by a
-left join whose overfull partitions adaptive execution can split.
+group of copies leaves one row per task. Findings are joined on the blob id and a
+salt, so that the paths of a blob with very many are not read by one task.
 
 Defined results: a null text is an empty blob; a path or version may be null or
 repeated, each row gets its result; an empty table gives no rows; other columns
@@ -45,6 +45,8 @@ RULES = (
     Rule("jwt", r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}"),
 )
 BASE_KINDS = ("assign", "access", "hex")
+#: Tasks over which the paths of one blob are dealt.
+SALTS = 16
 SPANS = "array<struct<start:int,rank:int,end:int,kind:string>>"
 
 
@@ -96,5 +98,8 @@ def scan(versions: DataFrame, ledger: DataFrame | None = None, rules: tuple[Rule
         is_current = F.concat_ws("/", "kind", F.col("rule_version").cast("string")).isin(*keys.values())
         current = scanned.unionByName(ledger.filter(is_current).select("blob_id", "kind", "rule_version", "spans"))
     found = current.filter(F.size("spans") > 0).groupBy("blob_id").agg(F.array_sort(F.flatten(F.collect_list("spans"))).alias("spans"))
-    by_path = rows.select("path", "version", "blob_id").join(found, "blob_id", "left").select("path", "version", "blob_id", F.coalesce("spans", F.array().cast(SPANS)).alias("spans"))
+    # Paths of one blob are dealt over several tasks; the few blobs with findings are there in each.
+    paths = rows.select("path", "version", "blob_id").withColumn("salt", F.pmod(F.xxhash64("path", "version"), F.lit(SALTS)).cast("int"))
+    found = found.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    by_path = paths.join(found, ["blob_id", "salt"], "left").select("path", "version", "blob_id", F.coalesce("spans", F.array().cast(SPANS)).alias("spans"))
     return by_path, scanned
