@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import present
+from ..plans.staging import staged
 from ..sources.tables import canonical_columns
 from . import pricing
 
@@ -62,23 +63,23 @@ def inherit(nodes: DataFrame, value: str, depth: int = MAX_DEPTH) -> DataFrame:
     """``id`` and ``value`` from the nearest ancestor that has one, at most ``depth`` steps up.
 
     ``nodes`` has ``id, parent_id`` and the value. Pointers double: after each of at most seven joins
-    a node looks twice as far. It stops when no pointer is open. Of rows of one id the
+    a node looks twice as far. Each round is staged; it stops when no pointer is open. Of rows of one id the
     greatest counts.
     """
     reach = nodes.groupBy("id").agg(F.max_by(F.struct("parent_id", value), F.struct(F.coalesce("parent_id", F.lit("")), F.coalesce(value, F.lit("")))).alias("x"))
     open_ = F.when(F.col("x." + value).isNull() & (F.col("x.parent_id") != F.col("id")), F.col("x.parent_id"))
-    state = reach.select("id", F.col("x." + value).alias("v"), open_.alias("up"), F.lit(1).alias("far"))
+    state = staged(reach.select("id", F.col("x." + value).alias("v"), open_.alias("up"), F.lit(1).alias("far")), "inherit")
     step = 1
-    while step <= depth:
+    while step <= depth and state.filter("up IS NOT NULL").limit(1).count():
         there = state.select(F.col("id").alias("_id"), F.col("v").alias("_v"), F.col("up").alias("_up"), F.col("far").alias("_far"))
         joined = state.join(there, F.col("up") == F.col("_id"), "left")
         # What an ancestor found counts only within the depth; else the pointer moves on.
         found = F.col("_v").isNotNull() & (F.col("far") + F.coalesce("_far", F.lit(0)) - 1 <= depth)
-        state = joined.select(
+        state = staged(joined.select(
             "id", F.coalesce("v", F.when(found, F.col("_v"))).alias("v"),
             F.when(F.col("v").isNull() & F.col("_v").isNull(), F.col("_up")).alias("up"),
             F.when(F.col("v").isNull(), F.col("far") + F.coalesce("_far", F.lit(0))).otherwise(F.col("far")).alias("far"),
-        )
+        ), "inherit")
         step *= 2
     return state.select("id", F.col("v").alias(value))
 
