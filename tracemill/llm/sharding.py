@@ -14,7 +14,8 @@ row for each range, piece or shard: at most ``ranges``, two and a half times as
 
 Defined results: a null text has no bytes and the checksum 0 of an empty text; a null id
 is hashed as such; repeated rows are interchangeable and get a place each; an
-empty table gives no rows; other columns are ignored.
+empty table gives no rows; other columns are ignored. A record that is larger
+than a shard's share takes one shard, and the shards whose share it spans are short or empty.
 """
 
 from __future__ import annotations
