@@ -3,7 +3,9 @@
 A document's key is -ln(u) / weight, with u from a hash of its id, so a heavier
 document tends to come first. A source first gives as many complete epochs as
 its budget holds; the rest goes to its documents in the order of their keys,
-until the prefix sum of their sizes is nearest to what is left.
+as long as the prefix sum of their sizes fits. What the next document leaves open
+is given, in the same order, to smaller ones in two more passes; the last
+document may cross the limit if that is nearer.
 
 The prefix sum has two levels, so that a source with a third of all rows is not
 sorted in one task: a document falls into one of ``BUCKETS`` key ranges of its
@@ -24,6 +26,8 @@ from pyspark.sql import functions as F
 from . import common
 
 BUCKETS = 1024
+#: Passes of the fractional selection.
+PASSES = 3
 #: A target stops at so many times its source's size.
 MAX_EPOCHS = 3
 #: Weights of the sources in their order, repeating.
@@ -76,20 +80,37 @@ def mix(docs: DataFrame, weights: DataFrame | None = None, doc_id: str = "doc_id
     rows = rows.withColumn("key", sampling_key(F.col("doc_id"), F.coalesce("weight", F.lit(1.0)), seed)).drop("weight")
     rows = common.staged(rows.withColumn("bucket", F.floor((1 - F.exp(-F.col("key"))) * BUCKETS).cast("int")), "mix")
 
-    by_bucket = rows.groupBy("source", "bucket").agg(F.sum("size").alias("bucket_size"))
-    targets = source_targets(by_bucket.groupBy("source").agg(F.sum("bucket_size").alias("source_size")))
-    before = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    ahead = by_bucket.withColumn("ahead", F.coalesce(F.sum("bucket_size").over(before), F.lit(0)))
-    plan = ahead.alias("a").join(targets.alias("t"), F.expr("a.source <=> t.source")).select("a.source", "a.bucket", "a.ahead", "t.source_size", "t.target")
-    plan = plan.withColumn("epochs", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size") + 1e-12)).otherwise(0).cast("long"))
-    plan = plan.withColumn("rest", F.greatest(F.col("target") - F.col("epochs") * F.col("source_size"), F.lit(0.0)))
+    targets = source_targets(rows.groupBy("source").agg(F.sum("size").alias("source_size")))
+    targets = targets.withColumn("epochs", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size") + 1e-12)).otherwise(0).cast("long"))
+    budget = F.greatest(F.col("target") - F.col("epochs") * F.col("source_size"), F.lit(0.0))
+    targets = common.staged(targets.withColumn("rest", budget), "targets")
+
+    rows, left = rows.withColumn("picked", F.lit(False)), targets.select("source", F.col("rest").alias("left"))
+    for k in range(PASSES):
+        rows = common.staged(_pick(rows, left, nearest=k == PASSES - 1), "mix")
+        used = rows.filter("picked").groupBy("source").agg(F.sum("size").alias("used"))
+        left = targets.alias("t").join(used.alias("u"), F.expr("t.source <=> u.source"), "left").select("t.source", (F.col("t.rest") - F.coalesce("u.used", F.lit(0))).alias("left"))
+    out = rows.alias("r").join(targets.alias("t"), F.expr("r.source <=> t.source"))
+    taken = F.col("size") * (F.col("epochs") + F.when(F.col("picked"), 1).otherwise(0))
+    return out.select(*[f"r.{c}" for c in carry], "r.doc_id", "size", "source_size", "target", taken.cast("long").alias("taken"))
+
 
+def _pick(rows: DataFrame, left: DataFrame, nearest: bool) -> DataFrame:
+    """Picks, of the documents not yet picked that fit into what is left, the first by key until it is used up.
+
+    ``nearest``: also the document that crosses the limit, if that brings the sum nearer to it.
+    """
+    open_ = rows.alias("r").join(left.alias("l"), F.expr("r.source <=> l.source")).select("r.*", "l.left")
+    fits = ~F.col("picked") & (F.col("size") > 0) & (F.col("left") > 0) & (F.col("size") <= (2 * F.col("left") if nearest else F.col("left")))
+    open_ = open_.withColumn("part", F.when(fits, F.col("size")).otherwise(0))
+    by_bucket = open_.groupBy("source", "bucket").agg(F.sum("part").alias("bucket_size"))
+    before = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+    ahead = by_bucket.select("source", "bucket", F.coalesce(F.sum("bucket_size").over(before), F.lit(0)).alias("ahead"))
     w = Window.partitionBy("source", "bucket").orderBy("key", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
-    near = rows.withColumn("within", F.coalesce(F.sum("size").over(w), F.lit(0)))
-    out = near.alias("r").join(plan.alias("p"), F.expr("r.source <=> p.source AND r.bucket = p.bucket")).select(*[f"r.{c}" for c in carry], "r.doc_id", "r.size", "p.source_size", "p.target", "p.epochs", "p.rest", (F.col("p.ahead") + F.col("r.within")).alias("ahead"))
-    # A document is in the rest if that brings the sum nearer to it.
-    picked = (F.col("rest") > 0) & (2 * F.col("ahead") + F.col("size") <= 2 * F.col("rest"))
-    return out.select(*carry, "doc_id", "size", "source_size", "target", (F.col("size") * (F.col("epochs") + F.when(picked, 1).otherwise(0))).cast("long").alias("taken"))
+    near = open_.withColumn("within", F.coalesce(F.sum("part").over(w), F.lit(0)))
+    placed = near.alias("r").join(ahead.alias("a"), F.expr("r.source <=> a.source AND r.bucket = a.bucket")).select("r.*", (F.col("ahead") + F.col("within")).alias("ahead"))
+    enough = 2 * F.col("ahead") + F.col("size") <= 2 * F.col("left") if nearest else F.col("ahead") + F.col("size") <= F.col("left")
+    return placed.withColumn("picked", F.col("picked") | ((F.col("part") > 0) & enough)).drop("left", "part", "within", "ahead")
 
 
 def quality_weights(labels: DataFrame) -> DataFrame:

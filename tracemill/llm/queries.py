@@ -142,12 +142,19 @@ d AS (
   SELECT source, source_size, CASE WHEN ratio <= level THEN lim ELSE w * (SELECT level FROM l WHERE ratio > level ORDER BY ratio, n LIMIT 1) END AS target FROM l
 ), e AS (
   SELECT *, CASE WHEN source_size > 0 THEN CAST(floor(target / source_size + 1e-12) AS BIGINT) ELSE 0 END AS epochs FROM t
-), p AS (
-  SELECT d.doc_id, size, source_size, target, epochs, greatest(target - epochs * source_size, 0.0) AS rest,
-    coalesce(sum(size) OVER (PARTITION BY d.source ORDER BY key, d.doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS ahead
+), p0 AS (
+  SELECT d.doc_id, d.source, size, key, source_size, target, epochs, greatest(target - epochs * source_size, 0.0) AS rest, false AS picked
   FROM d JOIN e ON d.source IS NOT DISTINCT FROM e.source
-)
-SELECT doc_id, size, source_size, target, CAST(size * (epochs + CASE WHEN rest > 0 AND 2 * ahead + size <= 2 * rest THEN 1 ELSE 0 END) AS BIGINT) AS taken FROM p
+), o0 AS (SELECT *, rest - coalesce(sum(size) FILTER (WHERE picked) OVER (PARTITION BY source), 0) AS room FROM p0),
+f0 AS (SELECT *, CASE WHEN NOT picked AND size > 0 AND room > 0 AND size <= room THEN size ELSE 0 END AS part FROM o0),
+p1 AS (SELECT * EXCLUDE (picked, room, part, ahead), picked OR (part > 0 AND ahead + size <= room) AS picked FROM (SELECT *, coalesce(sum(part) OVER (PARTITION BY source ORDER BY key, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS ahead FROM f0)),
+o1 AS (SELECT *, rest - coalesce(sum(size) FILTER (WHERE picked) OVER (PARTITION BY source), 0) AS room FROM p1),
+f1 AS (SELECT *, CASE WHEN NOT picked AND size > 0 AND room > 0 AND size <= room THEN size ELSE 0 END AS part FROM o1),
+p2 AS (SELECT * EXCLUDE (picked, room, part, ahead), picked OR (part > 0 AND ahead + size <= room) AS picked FROM (SELECT *, coalesce(sum(part) OVER (PARTITION BY source ORDER BY key, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS ahead FROM f1)),
+o2 AS (SELECT *, rest - coalesce(sum(size) FILTER (WHERE picked) OVER (PARTITION BY source), 0) AS room FROM p2),
+f2 AS (SELECT *, CASE WHEN NOT picked AND size > 0 AND room > 0 AND size <= 2 * room THEN size ELSE 0 END AS part FROM o2),
+p3 AS (SELECT * EXCLUDE (picked), picked OR (part > 0 AND 2 * ahead + size <= 2 * room) AS picked FROM (SELECT *, coalesce(sum(part) OVER (PARTITION BY source ORDER BY key, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS ahead FROM f2))
+SELECT doc_id, size, source_size, target, CAST(size * (epochs + CASE WHEN picked THEN 1 ELSE 0 END) AS BIGINT) AS taken FROM p3
 """
 
 
