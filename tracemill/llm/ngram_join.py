@@ -41,6 +41,8 @@ FREQUENT = 64
 MAX_FREQUENT = 1 << 20
 #: Bits of the bitmap of codes seen twice.
 BITMAP_BITS = 27
+#: Tasks over which the rows of one class are dealt.
+SALTS = 8
 #: Key ranges of the counter.
 RANGES = 128
 
@@ -281,6 +283,12 @@ def similarity_join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
 
     links = common.staged(dealt.groupBy("root", "i", "j").applyInArrow(verify, "a binary, b binary").filter("a <> b"), "links")
     roots = graph.components(links).select(F.col("node").alias("cls"), "root")
-    labelled = common.staged(rows.join(roots, "cls", "left").withColumn("root", F.coalesce("root", "cls")), "roots")
-    ids = labelled.filter("root is not null").groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    return labelled.join(ids, "root", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+
+    # Ids are found by class, and dealt to the rows over several tasks for a class with many copies.
+    sizes = common.staged(rows.filter("cls is not null").groupBy("cls").agg(F.min("doc_id").alias("least"), F.count("*").alias("k")), "sizes")
+    linked = common.staged(sizes.join(roots, "cls", "left"), "linked")
+    ids = linked.filter("root is not null").groupBy("root").agg(F.min("least").alias("component_id"))
+    known = linked.filter("root is not null OR k > 1").join(ids, "root", "left").select("cls", F.coalesce("component_id", "least").alias("component_id"))
+    known = known.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    salted = rows.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int"))
+    return salted.join(known, ["cls", "salt"], "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
