@@ -28,6 +28,10 @@ from pyspark.sql import functions as F
 from . import common
 
 
+#: Tasks over which the documents of one line are dealt.
+SALTS = 16
+
+
 def _increasing(pairs: list[tuple[int, int]]) -> list[tuple[int, int]]:
     """The longest run of pairs, ordered by the first, whose seconds increase."""
     tops: list[int] = []
@@ -114,7 +118,9 @@ def overlapping_pairs(lines: DataFrame, rare: int, min_chars: int) -> DataFrame:
     spread = lines.select("key", F.explode(F.arrays_zip("lines", "sizes")).alias("x"))
     spread = spread.select("key", F.col("x.lines").alias("line"), F.col("x.sizes").alias("size")).filter("line <> 0")
     known = spread.groupBy("line").agg(F.count("*").alias("k"), F.min("key").alias("first")).filter("k > 1")
-    held = spread.join(known, "line")
+    # Documents of one line are dealt over several tasks.
+    known = known.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    held = spread.withColumn("salt", F.pmod(F.xxhash64("key"), F.lit(SALTS)).cast("int")).join(known, ["line", "salt"])
     often = held.filter((F.col("k") > rare) & (F.col("first") < F.col("key"))).select(F.col("key").alias("later"), F.col("first").alias("earlier"), "size")
     few = held.filter(F.col("k") <= rare)
     pairs = few.select("line", "size", F.col("key").alias("later")).join(few.select("line", F.col("key").alias("earlier")), "line").filter("earlier < later").select("later", "earlier", "size")
