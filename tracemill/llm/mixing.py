@@ -26,6 +26,8 @@ from pyspark.sql import functions as F
 from . import common
 
 BUCKETS = 1024
+#: Tasks over which the documents of a source are dealt.
+SALTS = 64
 #: Passes of the fractional selection.
 PASSES = 3
 #: A target stops at so many times its source's size.
@@ -85,12 +87,14 @@ def mix(docs: DataFrame, weights: DataFrame | None = None, doc_id: str = "doc_id
     budget = F.greatest(F.col("target") - F.col("epochs") * F.col("source_size"), F.lit(0.0))
     targets = common.staged(targets.withColumn("rest", budget), "targets")
 
-    rows, left = rows.withColumn("picked", F.lit(False)), targets.select("source", F.col("rest").alias("left"))
+    # A source's few numbers are there in every salt, so that its documents are dealt over several tasks.
+    salts = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt")
+    rows, left = rows.withColumns({"picked": F.lit(False), "salt": F.pmod("bucket", F.lit(SALTS))}), targets.select("source", F.col("rest").alias("left"))
     for k in range(PASSES):
-        rows = common.staged(_pick(rows, left, nearest=k == PASSES - 1), "mix")
+        rows = common.staged(_pick(rows, left.select("*", salts), nearest=k == PASSES - 1), "mix")
         used = rows.filter("picked").groupBy("source").agg(F.sum("size").alias("used"))
         left = targets.alias("t").join(used.alias("u"), F.expr("t.source <=> u.source"), "left").select("t.source", (F.col("t.rest") - F.coalesce("u.used", F.lit(0))).alias("left"))
-    out = rows.alias("r").join(targets.alias("t"), F.expr("r.source <=> t.source"))
+    out = rows.alias("r").join(targets.select("*", salts).alias("t"), F.expr("r.source <=> t.source AND r.salt = t.salt"))
     taken = F.col("size") * (F.col("epochs") + F.when(F.col("picked"), 1).otherwise(0))
     return out.select(*[f"r.{c}" for c in carry], "r.doc_id", "size", "source_size", "target", taken.cast("long").alias("taken"))
 
@@ -100,7 +104,7 @@ def _pick(rows: DataFrame, left: DataFrame, nearest: bool) -> DataFrame:
 
     ``nearest``: also the document that crosses the limit, if that brings the sum nearer to it.
     """
-    open_ = rows.alias("r").join(left.alias("l"), F.expr("r.source <=> l.source")).select("r.*", "l.left")
+    open_ = rows.alias("r").join(left.alias("l"), F.expr("r.source <=> l.source AND r.salt = l.salt")).select("r.*", "l.left")
     fits = ~F.col("picked") & (F.col("size") > 0) & (F.col("left") > 0) & (F.col("size") <= (2 * F.col("left") if nearest else F.col("left")))
     open_ = open_.withColumn("part", F.when(fits, F.col("size")).otherwise(0))
     by_bucket = open_.groupBy("source", "bucket").agg(F.sum("part").alias("bucket_size"))
