@@ -251,6 +251,16 @@ def test_line_dedup(spark):
     assert line_dedup.line_dedup(docs.limit(0)).count() == 0
 
 
+def test_line_dedup_block_with_frequent_line(spark):
+    """A block counts whole, also where one of its lines is frequent and first stands in another document."""
+    often, few = "frequent line of forty characters or so..", "a line that only two of all documents hold, and which alone is too short"
+    rows = [(k, f"own line {k}\n{often}\nlast line {k}") for k in range(6)]
+    rows += [(k, f"start of {k}\n{often}\n{few}\nend of {k}") for k in (10, 11)]
+    got = {r["doc_id"]: r["text"] for r in line_dedup.line_dedup(documents(spark, rows)).collect()}
+    assert len(few) < 100 <= len(often) + len(few)
+    assert got[11] == "start of 11\nend of 11" and all(got[d] == t for d, t in rows if d != 11)
+
+
 def test_registered_queries_against_brute_force(spark):
     rows = [tuple(r) for r in spark.read.parquet(f"{SMALL}/documents.parquet").select("doc_id", "text").collect()]
     got = sorted(map(tuple, queries.op4_suffix_dedup(spark, SMALL).collect()))
