@@ -132,6 +132,23 @@ def test_similarity_join(spark, width, percent, block):
     assert sorted(((r["doc_id"], r["n_shingles"], r["component_id"]) for r in got), key=str) == linked(rows, width, percent)
 
 
+def test_similarity_join_full_table(spark, monkeypatch):
+    """Frequent tokens that find no place in the bounded table lose no link."""
+    monkeypatch.setattr(ngram_join, "MAX_FREQUENT", 0)
+    monkeypatch.setattr(ngram_join, "FREQUENT", 8)
+    rng = random.Random(5)
+    rows = [(500 + k, prose(rng, 70)) for k in range(20)]
+    for g in range(2):
+        base = prose(rng, 90).split()
+        for k in range(30):
+            ws = list(base)
+            ws[rng.randrange(90)] = f"other{g}{k}"
+            rows.append((100 * g + k, " ".join(ws)))
+    got = {r["doc_id"]: r["component_id"] for r in ngram_join.similarity_join(documents(spark, rows), width=4, percent=85).collect()}
+    expect = {r[0]: r[2] for r in linked(rows, 4, 85)}
+    assert got == expect and len(set(expect.values())) < 30
+
+
 def test_similarity_join_empty(spark):
     assert ngram_join.similarity_join(documents(spark, [(1, "x")]).limit(0)).count() == 0
     assert [tuple(r) for r in ngram_join.similarity_join(documents(spark, [(1, None)])).collect()] == [(1, 0, 1)]

@@ -30,7 +30,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import common, graph, textcodes
@@ -200,10 +200,15 @@ def prefix_rows(docs: DataFrame, width: int, percent: int, codes: np.ndarray, co
 
 
 def candidate_edges(prefixes: DataFrame, percent: int) -> DataFrame:
-    """Edges between classes that may link; for frequent combinations, from each class to the least that has it."""
+    """Edges between classes that may link; for frequent combinations and tokens, from each class to the least that has it."""
     one = prefixes.groupBy("cls").agg(F.first("n").alias("n"), F.first("rare").alias("rare"), F.first("combos").alias("combos"), F.first("has_frequent").alias("has_frequent"))
     one = common.staged(one, "prefixes")
+    of_token = Window.partitionBy("token")
     rare = one.select("cls", "n", "has_frequent", F.explode("rare").alias("token"))
+    rare = rare.withColumns({"k": F.count("*").over(of_token), "least": F.min("cls").over(of_token)}).filter("k > 1")
+    # A token that is frequent but has no place in the table of frequent codes is a star as well, never all pairs.
+    wide = rare.filter(F.col("k") > FREQUENT).filter("cls <> least").select(F.col("cls").alias("a"), F.col("least").alias("b"))
+    rare = rare.filter(F.col("k") <= FREQUENT)
     x = rare.select("token", F.col("cls").alias("a"), F.col("n").alias("na"), F.col("has_frequent").alias("fa"))
     y = rare.select("token", F.col("cls").alias("b"), F.col("n").alias("nb"), F.col("has_frequent").alias("fb"))
     near = (F.col("a") < F.col("b")) & (100 * F.least("na", "nb") >= percent * F.greatest("na", "nb"))
@@ -215,7 +220,7 @@ def candidate_edges(prefixes: DataFrame, percent: int) -> DataFrame:
     combos = one.select("cls", F.explode("combos").alias("combo"))
     least = combos.groupBy("combo").agg(F.min("cls").alias("b"), F.count("*").alias("k")).filter("k > 1")
     stars = combos.join(least, "combo").select(F.col("cls").alias("a"), "b").filter("a <> b")
-    return pairs.unionByName(stars).distinct()
+    return pairs.unionByName(stars).unionByName(wide).distinct()
 
 
 def link_components(sets: list[np.ndarray], percent: int) -> np.ndarray:
