@@ -4,8 +4,8 @@ A document is a list of line hashes. Two documents overlap where they share
 lines. A rare line (``rare`` occurrences or fewer) pairs each of its documents with
 every earlier one; a more frequent line pairs each of its documents with the
 earliest one, so that no group of copies is expanded into pairs and no line is
-left out. A pair is aligned if what it shares, with the frequent lines that both may
-hold, can make a block of ``min_chars`` characters. The alignment is a patience diff: common ends, then lines that are
+left out. A pair is aligned if what it shares, with the frequent lines of the later
+one, can make a block of ``min_chars`` characters. The alignment is a patience diff: common ends, then lines that are
 unique in both, in the longest order that both have, and so on between them.
 Aligned common blocks of ``min_chars`` or more are deleted from the later document.
 
@@ -128,9 +128,8 @@ def overlapping_pairs(lines: DataFrame, rare: int, min_chars: int) -> DataFrame:
     shared = firsts.unionByName(pairs).groupBy("later", "earlier").agg(F.sum("size").alias("shared"))
     # Frequent lines pair with the first document only, but may stand in the blocks of any pair.
     more = often.groupBy("key").agg(F.sum("size").alias("more"))
-    bound = shared.join(more.select(F.col("key").alias("later"), F.col("more").alias("more_later")), "later", "left")
-    bound = bound.join(more.select(F.col("key").alias("earlier"), F.col("more").alias("more_earlier")), "earlier", "left")
-    return bound.filter(F.col("shared") + F.least(F.coalesce("more_later", F.lit(0)), F.coalesce("more_earlier", F.lit(0))) >= min_chars).select("later", "earlier")
+    bound = shared.join(more.select(F.col("key").alias("later"), "more"), "later", "left")
+    return bound.filter(F.col("shared") + F.coalesce("more", F.lit(0)) >= min_chars).select("later", "earlier")
 
 
 def removed_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", rare: int = 4, min_chars: int = 100) -> DataFrame:
