@@ -66,6 +66,18 @@ def test_suffix_dedup_long_text(spark):
     assert [g[1:4] for g in got] == [(len(long_), 650, 2), (410, 400, 1), (449, 250, 1)]
 
 
+def test_suffix_dedup_repeat_across_parts(spark):
+    rng = random.Random(14)
+    passage, *own = ("".join(rng.choices("abcdefghijklmnopqrstuvwxyz     ", k=k)) for k in (260, 10_000, 2_000_000, 400_000))
+    edge = "".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=textcodes.PIECE + 5000))  # runs cross the parts, nothing repeats
+    rows = [(1, own[0] + passage + own[1] + "#" + passage + own[2]), (2, edge)]
+    got = sorted(suffix_dedup.substring_dedup(documents(spark, rows)).collect())
+    spans = [(x["start"], x["end"]) for x in got[0]["removed"]]
+    second = 10_000 + 260 + 2_000_000 + 1
+    assert all(a <= at and at + 260 <= b and b - a <= 264 for (a, b), at in zip(spans, (10_000, second), strict=True))
+    assert got[1]["n_removed"] == 0
+
+
 def test_blind_trie_and_deep_shallow():
     rng = random.Random(13)
     strings = sorted({bytes(rng.choice(b"ab") for _ in range(12)) for _ in range(300)})

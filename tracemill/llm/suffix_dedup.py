@@ -25,6 +25,8 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from itertools import groupby
+from operator import itemgetter
 
 import numpy as np
 import pyarrow as pa
@@ -90,8 +92,13 @@ def anchors(texts: DataFrame, length: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             d = np.asarray(batch.column("d"))
-            for first, _, _, t, _, _, _, h in text_runs(batch.column("text"), length):
+            for first, parts in groupby(text_runs(batch.column("text"), length), itemgetter(0)):
+                # The parts of a long text are taken together; an anchor whose run goes on in the next part is one place.
+                found = [(t, a + shift if np.isscalar(shift) else a, h) for _, _, shift, t, _, _, a, h in parts]
+                t, a, h = (np.concatenate(x) for x in zip(*found, strict=True))
                 if len(t):
+                    place = np.concatenate([[True], a[1:] != a[:-1]])
+                    t, h = t[place], h[place]
                     order = np.lexsort((h, t))
                     t, h = t[order], h[order]
                     new = np.concatenate([[True], (t[1:] != t[:-1]) | (h[1:] != h[:-1])])
