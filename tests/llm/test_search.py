@@ -290,6 +290,40 @@ def test_line_dedup_block_with_frequent_line(spark):
     assert got[11] == "start of 11\nend of 11" and all(got[d] == t for d, t in rows if d != 11)
 
 
+def test_line_dedup_passage_of_frequent_lines(spark):
+    """Documents meet by a passage whose lines all are frequent and first stand elsewhere, each alone."""
+    passage = [f"line {k} of a passage, some forty characters" for k in range(4)]
+    rows = [(k, f"own line {k}\n{passage[k % 4]}\nlast line {k}") for k in range(20)]
+    rows += [(100 + k, "\n".join([f"start of {k}", *passage[:2], "", *passage[2:], f"end of {k}"])) for k in range(8)]
+    got = {r["doc_id"]: r["text"] for r in line_dedup.line_dedup(documents(spark, rows)).collect()}
+    assert all(got[d] == t for d, t in rows if d <= 100)
+    assert all(got[100 + k] == f"start of {k}\nend of {k}" for k in range(1, 8))
+
+
+def test_line_runs():
+    rng = random.Random(20)
+    docs = [[(x := rng.randint(0, 3), x * 20) for _ in range(rng.randint(0, 12))] for _ in range(200)]
+    flat = [x for d in docs for x in d]
+    lines, sizes = (np.array([x[k] for x in flat], np.int64) for k in (0, 1))
+    offsets = np.concatenate([[0], np.cumsum([len(d) for d in docs])])
+    found = {}
+    for d, h in zip(*line_dedup.line_runs(lines, sizes, offsets, 100), strict=True):
+        found.setdefault(int(d), set()).add(int(h))
+    names = {}
+    for d, doc in enumerate(docs):
+        expect = set()
+        for i, (x, _) in enumerate(doc):
+            on = next((j for j in range(i + 1, len(doc) + 1) if sum(y[1] for y in doc[i:j]) >= 100), None)
+            back = next((j for j in range(i, -1, -1) if sum(y[1] for y in doc[j : i + 1]) >= 100), None)
+            expect |= {tuple(y[0] for y in doc[i:on])} if x and on is not None else set()
+            expect |= {tuple(y[0] for y in doc[back : i + 1])} if x and back is not None else set()
+        assert len(found.get(d, ())) == len(expect)
+        for run in expect:
+            names.setdefault(run, []).append(d)
+    # Equal runs have one hash in all their documents.
+    assert all(set.intersection(*(found[d] for d in ds)) for ds in names.values()) and len(names) == len(set().union(*found.values()))
+
+
 def test_registered_queries_against_brute_force(spark):
     rows = [tuple(r) for r in spark.read.parquet(f"{SMALL}/documents.parquet").select("doc_id", "text").collect()]
     got = sorted(map(tuple, queries.op4_suffix_dedup(spark, SMALL).collect()))

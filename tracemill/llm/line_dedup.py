@@ -1,12 +1,13 @@
 """Line deduplication by pairwise alignment.
 
-A document is a list of line hashes. Two documents overlap where they share
-lines. A rare line (``rare`` occurrences or fewer) pairs each of its documents with
-every earlier one; a more frequent line pairs each of its documents with the
-earliest one, so that no group of copies is expanded into pairs and no line is
-left out. A pair is aligned if what it shares, with the frequent lines of the later
-one, can make a block of ``min_chars`` characters. The alignment is a patience diff: common ends, then lines that are
-unique in both, in the longest order that both have, and so on between them.
+A document is a list of line hashes. Two documents overlap where they share a block
+of ``min_chars`` characters, and so a run: the fewest lines with that many characters
+from a line on, or up to it. Every line of a block lies in a run within the block. A rare
+run (in ``rare`` documents or fewer) pairs each of its documents with every earlier
+one; a more frequent run pairs each of its documents with the earliest one, so that no
+group of copies is expanded into pairs and no run is left out. The alignment is a
+patience diff: common ends, then lines that are unique in both, in the longest
+order that both have, and so on between them.
 Aligned common blocks of ``min_chars`` or more are deleted from the later document.
 
 Documents are ordered by id, then by a hash of their text. Defined results: a
@@ -21,15 +22,18 @@ from __future__ import annotations
 from bisect import bisect_left
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import common
+from . import common, textcodes
 
 
-#: Tasks over which the documents of one line are dealt.
+#: Tasks over which the documents of one run are dealt.
 SALTS = 16
+#: Lines whose runs are hashed at once; a single longer document is handled alone.
+LINES = 1 << 18
 
 
 def _increasing(pairs: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -113,23 +117,52 @@ def line_table(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> D
     return rows
 
 
+def line_runs(lines: np.ndarray, sizes: np.ndarray, offsets: np.ndarray, min_chars: int) -> tuple[np.ndarray, np.ndarray]:
+    """Document numbers and hashes of the distinct runs of each document; ``offsets`` are those of its lines."""
+    n = len(lines)
+    up, down = textcodes.powers(n)
+    total = np.zeros(n + 1, np.uint64)
+    np.cumsum(textcodes.mix(lines.view(np.uint64)) * up[:n], out=total[1:])
+    chars = np.concatenate([[0], np.cumsum(sizes, dtype=np.int64)])
+    doc = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))
+    i, least = np.flatnonzero(lines), max(min_chars, 1)
+    end = np.searchsorted(chars, chars[i] + least, "left")
+    start = np.searchsorted(chars, chars[i + 1] - least, "right") - 1
+    on, back = end <= offsets[doc[i] + 1], start >= offsets[doc[i]]
+    start, end, doc = np.concatenate([i[on], start[back]]), np.concatenate([end[on], i[back] + 1]), np.concatenate([doc[i[on]], doc[i[back]]])
+    h = textcodes.mix((total[end] - total[start]) * down[start] + (end - start).astype(np.uint64))
+    order = np.lexsort((h, doc))
+    h, doc = h[order], doc[order]
+    new = np.ones(len(h), bool)
+    new[1:] = (h[1:] != h[:-1]) | (doc[1:] != doc[:-1])
+    return doc[new], h[new]
+
+
 def overlapping_pairs(lines: DataFrame, rare: int, min_chars: int) -> DataFrame:
     """``later, earlier``: documents that share enough to be aligned."""
-    spread = lines.select("key", F.explode(F.arrays_zip("lines", "sizes")).alias("x"))
-    spread = spread.select("key", F.col("x.lines").alias("line"), F.col("x.sizes").alias("size")).filter("line <> 0")
-    known = spread.groupBy("line").agg(F.count("*").alias("k"), F.min("key").alias("first")).filter("k > 1")
-    # Documents of one line are dealt over several tasks.
+
+    def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            column = batch.column("lines")
+            offsets = column.offsets.to_numpy().astype(np.int64)
+            values, sizes = (np.asarray(batch.column(c).values) for c in ("lines", "sizes"))
+            lo = 0
+            while lo < batch.num_rows:
+                hi = max(int(np.searchsorted(offsets, offsets[lo] + LINES, "right")) - 1, lo + 1)
+                of = slice(offsets[lo], offsets[hi])
+                doc, h = line_runs(values[of], sizes[of], offsets[lo : hi + 1] - offsets[lo], min_chars)
+                yield pa.RecordBatch.from_arrays([batch.column("key").take(pa.array(lo + doc)), pa.array(h.view(np.int64))], ["key", "run"])
+                lo = hi
+
+    spread = lines.select("key", "lines", "sizes").mapInArrow(runs, "key struct<doc_id:bigint,hash:bigint>, run long")
+    known = spread.groupBy("run").agg(F.count("*").alias("k"), F.min("key").alias("first")).filter("k > 1")
+    # Documents of one run are dealt over several tasks.
     known = known.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    held = spread.withColumn("salt", F.pmod(F.xxhash64("key"), F.lit(SALTS)).cast("int")).join(known, ["line", "salt"])
-    often = held.filter(F.col("k") > rare)
-    firsts = often.filter(F.col("first") < F.col("key")).select(F.col("key").alias("later"), F.col("first").alias("earlier"), "size")
+    held = spread.withColumn("salt", F.pmod(F.xxhash64("key"), F.lit(SALTS)).cast("int")).join(known, ["run", "salt"])
+    firsts = held.filter((F.col("k") > rare) & (F.col("first") < F.col("key"))).select(F.col("key").alias("later"), F.col("first").alias("earlier"))
     few = held.filter(F.col("k") <= rare)
-    pairs = few.select("line", "size", F.col("key").alias("later")).join(few.select("line", F.col("key").alias("earlier")), "line").filter("earlier < later").select("later", "earlier", "size")
-    shared = firsts.unionByName(pairs).groupBy("later", "earlier").agg(F.sum("size").alias("shared"))
-    # Frequent lines pair with the first document only, but may stand in the blocks of any pair.
-    more = often.groupBy("key").agg(F.sum("size").alias("more"))
-    bound = shared.join(more.select(F.col("key").alias("later"), "more"), "later", "left")
-    return bound.filter(F.col("shared") + F.coalesce("more", F.lit(0)) >= min_chars).select("later", "earlier")
+    pairs = few.select("run", F.col("key").alias("later")).join(few.select("run", F.col("key").alias("earlier")), "run").filter("earlier < later").select("later", "earlier")
+    return firsts.unionByName(pairs).distinct()
 
 
 def removed_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", rare: int = 4, min_chars: int = 100) -> DataFrame:
