@@ -290,6 +290,21 @@ def test_line_dedup_block_with_frequent_line(spark):
     assert got[11] == "start of 11\nend of 11" and all(got[d] == t for d, t in rows if d != 11)
 
 
+def test_patience_without_unique_lines():
+    rng = random.Random(21)
+    for _ in range(300):
+        a, b = ([rng.randint(1, 4) for _ in range(rng.randint(1, 14))] for _ in range(2))
+        sizes = [10 * x for x in b]
+        chars = [sum(sizes[:j]) for j in range(len(b) + 1)]
+        i, j, n = line_dedup._heaviest(a, b, chars, 0, len(a), 0, len(b))
+        common = [sum(sizes[y : y + m]) for x in range(len(a)) for y in range(len(b)) for m in range(1, len(b) - y + 1) if a[x : x + m] == b[y : y + m]]
+        assert a[i : i + n] == b[j : j + n] and sum(sizes[j : j + n]) == max(common, default=0)
+    p = [7, 8, 9]
+    assert line_dedup.patience([1, *p, 2, *p, 3], [4, *p, 5]) in ([(1, 1), (2, 2), (3, 3)], [(5, 1), (6, 2), (7, 3)])
+    assert line_dedup.common_blocks([1, *p, 2], [4, *p, 5, *p, 6], [40] * 9, 100) in ([1, 2, 3], [5, 6, 7])
+    assert line_dedup.common_blocks([1, *p, 2], [4, *p, 5, *p, 6], [30] * 9, 100) == []
+
+
 def test_line_dedup_passage_of_frequent_lines(spark):
     """Documents meet by a passage whose lines all are frequent and first stand elsewhere, each alone."""
     passage = [f"line {k} of a passage, some forty characters" for k in range(4)]

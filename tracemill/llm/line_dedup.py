@@ -7,7 +7,8 @@ run (in ``rare`` documents or fewer) pairs each of its documents with every earl
 one; a more frequent run pairs each of its documents with the earliest one, so that no
 group of copies is expanded into pairs and no run is left out. The alignment is a
 patience diff: common ends, then lines that are unique in both, in the longest
-order that both have, and so on between them.
+order that both have, and so on between them. Where two parts have no such line,
+their common block of most characters is taken, if it has ``min_chars``, and so on beside it.
 Aligned common blocks of ``min_chars`` or more are deleted from the later document.
 
 Documents are ordered by id, then by a hash of their text. Defined results: a
@@ -21,6 +22,7 @@ from __future__ import annotations
 
 from bisect import bisect_left
 from collections.abc import Iterator
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -56,9 +58,55 @@ def _increasing(pairs: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out[::-1]
 
 
-def patience(a: list[int], b: list[int]) -> list[tuple[int, int]]:
-    """Aligned positions of equal lines, in order."""
+def _heaviest(a: list[int], b: list[int], chars: list[int], alo: int, ahi: int, blo: int, bhi: int) -> tuple[int, int, int]:
+    """Places in both and number of lines of the common block that has most characters; ``chars`` are summed over ``b``.
+
+    A suffix automaton of the one part reads the other, so that no pairs of equal lines are listed.
+    """
+    follow: list[dict[int, int]] = [{}]
+    link, length, end = [-1], [0], [alo]
+    last = 0
+    for i in range(alo, ahi):
+        x, new, p = a[i], len(follow), last
+        follow.append({})
+        link.append(0)
+        length.append(length[last] + 1)
+        end.append(i + 1)
+        while p >= 0 and x not in follow[p]:
+            follow[p][x] = new
+            p = link[p]
+        if p >= 0:
+            q = follow[p][x]
+            if length[q] > length[p] + 1:
+                twin = len(follow)
+                follow.append(dict(follow[q]))
+                link.append(link[q])
+                length.append(length[p] + 1)
+                end.append(end[q])
+                while p >= 0 and follow[p].get(x) == q:
+                    follow[p][x] = twin
+                    p = link[p]
+                link[q] = q = twin
+            link[new] = q
+        last = new
+    best, most, state, n = (alo, blo, 0), (0, 0), 0, 0
+    for j in range(blo, bhi):
+        while state and b[j] not in follow[state]:
+            state = link[state]
+            n = length[state]
+        if b[j] in follow[state]:
+            state = follow[state][b[j]]
+            n += 1
+        # Of equals the one nearest to the middle, so that many equal blocks halve the part.
+        if n and (weight := (chars[j + 1] - chars[j + 1 - n], -abs(2 * j - blo - bhi))) > most:
+            best, most = (end[state] - n, j + 1 - n, n), weight
+    return best
+
+
+def patience(a: list[int], b: list[int], sizes: list[int] | None = None, least: int = 1) -> list[tuple[int, int]]:
+    """Aligned positions of equal lines, in order; without unique lines, by blocks that have ``least`` by the sizes of ``b``."""
     out: list[tuple[int, int]] = []
+    chars = [0, *accumulate(sizes or [1] * len(b))]
     stack = [(0, len(a), 0, len(b))]
     while stack:
         alo, ahi, blo, bhi = stack.pop()
@@ -79,6 +127,16 @@ def patience(a: list[int], b: list[int]) -> list[tuple[int, int]]:
                 seen[b[j]] = -1 if b[j] in seen else j
         anchors = _increasing(sorted((once[x], j) for x, j in seen.items() if j >= 0))
         if not anchors:
+            # Only a stretch of lines that the other part has too can hold a block.
+            held = most = 0
+            for j in range(blo, bhi):
+                held = held + chars[j + 1] - chars[j] if b[j] in once else 0
+                most = max(most, held)
+            if most >= least:
+                i, j, n = _heaviest(a, b, chars, alo, ahi, blo, bhi)
+                if n and chars[j + n] - chars[j] >= least:
+                    out += [(i + k, j + k) for k in range(n)]
+                    stack += [(alo, i, blo, j), (i + n, ahi, j + n, bhi)]
             continue
         i0, j0 = alo, blo
         for i, j in anchors:
@@ -95,7 +153,7 @@ def common_blocks(a: list[int], b: list[int], sizes: list[int], min_chars: int)
     out: list[int] = []
     block: list[int] = []
     last = (-2, -2)
-    for i, j in [*patience(a, b), (-9, -9)]:
+    for i, j in [*patience(a, b, sizes, min_chars), (-9, -9)]:
         if (i, j) != (last[0] + 1, last[1] + 1):
             if sum(sizes[k] for k in block) >= min_chars:
                 out += block
