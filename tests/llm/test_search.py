@@ -243,6 +243,15 @@ def test_decontamination_long_text(spark, monkeypatch):
     assert {(f[2], f[4]) for f in found} >= {(text.find(item), 0), (text.rfind(item), 0)}
 
 
+def test_decontamination_item_longer_than_a_part(monkeypatch):
+    rng = random.Random(26)
+    item = prose(rng, 200)
+    text = prose(rng, 2000) + " " + item + " " + prose(rng, 2000)
+    monkeypatch.setattr(decontaminate, "PART", len(item) // 2)
+    found = list(decontaminate.match_texts(decontaminate.Index([(1, item)], 0.08, 32), [9], [text]))
+    assert (text.find(item), 0) in {(f[2], f[4]) for f in found}
+
+
 def test_patience():
     rng = random.Random(18)
     for _ in range(300):

@@ -201,9 +201,9 @@ def banded(item: np.ndarray, region: np.ndarray, budget: int) -> tuple[int, int,
 
 
 def _parts(text: str, overlap: int) -> Iterator[tuple[int, str]]:
-    step = PART - overlap
-    for at in range(0, max(len(text) - overlap, 1), step):
-        yield at, text[at : at + PART]
+    part = max(PART, 2 * overlap)  # an item may be longer than PART
+    for at in range(0, max(len(text) - overlap, 1), part - overlap):
+        yield at, text[at : at + part]
 
 
 def match_texts(index: Index, ids: list, texts: list[str]) -> Iterator[tuple]:
