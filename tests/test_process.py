@@ -218,7 +218,8 @@ def test_commands(spark, log, tmp_path, capsys):
     assert run("check", events, "-p", process) == 2
     assert run("report", events, "-f", "html", "-o", str(tmp_path / "r.html")) == 0 and "Process report" in (tmp_path / "r.html").read_text()
     assert run("diff", events, other) == 0 and "# Drift" in capsys.readouterr().out
-    assert run("abstract", events, "-m", str(tmp_path / "m.yaml")) == 0 and "plan" in (tmp_path / "m.yaml").read_text()
+    assert run("abstract", events, "-m", str(tmp_path / "m.yaml"), "--stability", "2") == 0 and "plan" in (tmp_path / "m.yaml").read_text()
+    assert run("abstract", events, "--backend", "odd") == 2 and run("abstract", events, "--backend", "ollama") == 2
     assert run("version") == 0
 
 
@@ -245,3 +246,112 @@ def test_queries_and_sql_have_the_same_names():
 
     assert set(catalogue.ORACLE) <= set(catalogue.QUERIES)
     assert normalize.MAX_DEPTH == 64
+
+
+def test_sums_over_more_kinds_than_are_shown(log, monkeypatch):
+    """Off-model spend is a sum over all kinds of moves, not over those that a report shows."""
+    rows = [ev("c", f"odd{k:04d}", k) for k in range(1200)]
+    rep = conformance.check(conformance.Process.from_dict({"flow": "plan?", "thresholds": {"off_model_share_max": 0.9}}), log(rows), shown=10)
+    assert len(rep.deviations) == 10 and rep.off_model_cost == 1200.0 and rep.off_model_share == 1.0 and not rep.ok
+
+
+def test_concentration_over_many_paths(log):
+    """Half of the cost may be reached after more paths than any report reads."""
+    rows = [ev(f"c{k:05d}{j}", f"a{k:05d}", 0, cost=2.0 if k < 1100 else 0.5) for k in range(6000) for j in range(2)]
+    found = findings.findings(findings.mine(log(rows)), limit=20)
+    share = [f.share for f in found if f.kind == "concentration"]
+    assert not share or share[0] >= 0.5
+    m = mining.variants(mining.case_rollup(log(rows)))
+    got = [r.asDict() for r in mining.pareto(m, min_n=2).orderBy(F.desc("cost_avg"), "example_case").collect()]
+    upto = n = 0.0
+    for r in got:
+        upto, n = upto + r["cost_avg"] * r["n"], n + r["n"]
+        assert r["cum_cost_share"] == pytest.approx(upto / (2 * (1100 * 2 + 4900 * 0.5))) and r["cum_case_share"] == pytest.approx(n / 12000)
+    assert [f.share for f in found if f.kind == "concentration"] == [] and len(got) == 6000
+
+
+def test_upper_median(spark):
+    rng = random.Random(1)
+    for n in (1, 2, 7, 100, 1001):
+        values = [float(rng.randint(0, 20)) for _ in range(n)]
+        df = spark.createDataFrame([(v, str(k)) for k, v in enumerate(values)], "v double, k string")
+        assert analysis.upper_median(df, "v", "k").first()["median"] == sorted(values)[n // 2]
+
+
+def test_expected_text():
+    assert parse_flow("(a | b | c | d | e)* -> f").expected(0) == "a | b | c | d … +2 more" and parse_flow("a -> any").expected(1) == "any step" and parse_flow("a").expected(1) == "end of process"
+
+
+def test_rules_in_one_pass(log):
+    df = log(seqs(x="a b a b", y="b", z="c a"))
+    rules = [conformance.read_rule(r) for r in ({"always": "a"}, {"after": "a", "expect": "b"}, {"before": "a", "expect": "b"}, {"max": 1, "of": "a"}, {"last": "b"}, {"never": "zzz"})]
+    got = {r["rule"]: (r["cases"], r["events"], r["examples"]) for r in conformance.rule_stats(df, rules).collect()}
+    assert got == {0: (1, 1, "y"), 1: (1, 1, "z"), 2: (2, 2, "x,z"), 3: (1, 1, "x"), 4: (1, 1, "z")}
+
+
+def test_graph():
+    from tracemill.plans import graph
+
+    edges = [dict(src=a, dst=b, n=n, parallel=p) for a, b, n, p in (("START", "x", 3, 0), ("x", "y", 5, 0), ("y", "x", 4, 0), ("y", "y", 2, 2), ("y", "END", 3, 0))]
+    assert graph.folded(edges)[0] == ("x", "y", 5, 4) and graph.loop_label(edges[3]) == "⇉ 2"
+    pairs = [(e["src"], e["dst"]) for e in edges]
+    assert graph.back_edges(["START", "x", "y", "END"], pairs) == {("y", "x"), ("y", "y")}
+    assert graph.layers(["START", "x", "y", "END"], pairs) == {"START": 0, "x": 1, "y": 2, "END": 3}
+    nodes = {"x": {"n": 7, "cost": 1.0}, "y": {"n": 7, "cost": 0.0}}
+    for hub in (None, "x"):
+        text = graph.svg(edges, nodes, 1.0, hub, {"x": "#123456"})
+        assert text.count("<rect") == 5 and "5 ⇄ 4" in text and "⇉ 2" in text
+
+
+def test_backends(spark, log, tmp_path, capsys, monkeypatch):
+    import json
+
+    from tracemill.operators import backends
+
+    monkeypatch.setenv("GEMINI_API_KEY", "k")
+    monkeypatch.setenv("ANTHROPIC_API_KEY", "k")
+    answer = json.dumps({"activities": [{"name": "find", "labels": ["a", "b", "ghost"]}]})
+    shapes = {
+        "anthropic": {"content": [{"type": "text", "text": answer}], "usage": {"input_tokens": 3, "output_tokens": 2}},
+        "gemini": {"candidates": [{"content": {"parts": [{"text": answer}]}, "finishReason": "STOP"}]},
+        "ollama": {"response": answer, "done_reason": "stop"},
+    }
+    for kind, shape in shapes.items():
+        assert backends.backend(kind, "m", lambda *_, s=shape: s)(["a", "b"], 3) == {"a": "find", "b": "find", "ghost": "find"}
+    for kind, cut in (("anthropic", {"stop_reason": "max_tokens"}), ("gemini", {"candidates": [{"finishReason": "MAX_TOKENS"}]}), ("gemini", {}), ("ollama", {"done_reason": "length"}), ("ollama", {"response": "no"})):
+        with pytest.raises(backends.BackendError):
+            backends.backend(kind, "m", lambda *_, s=cut: s)(["a"], 3)
+    assert backends.clusters('{"mapping": {"a": "x"}}') == {"a": "x"} == backends.clusters('{"a": "x"}') and backends.clusters("{}") == {}
+    events = str(tmp_path / "e.parquet")
+    detect.write_log(log([ev("c", "a", 0), ev("c", "b", 1, cost=0.0), ev("c", "d", 2)]), events)
+    args = cli.parser().parse_args(["abstract", events, "-m", str(tmp_path / "m.yaml"), "--backend", "ollama", "--model", "m"])
+    assert cli.abstract(spark, args, lambda *_: shapes["ollama"]) == 0
+    err = capsys.readouterr().err
+    assert "left out 1 of 3" in err and "invented 1" in err and "find merges paid steps (a) with free ones (b)" in err
+
+
+def test_all_in_one(spark, tmp_path, monkeypatch):
+    from tracemill.sources import synthetic
+
+    monkeypatch.chdir(tmp_path)
+    synthetic.write(spark, str(tmp_path / "t.jsonl"), runs=10)
+    assert cli.main(["--from", str(tmp_path / "t.jsonl"), "-o", str(tmp_path / "r.html")], spark) == 0
+    assert 'class="graph"' in (tmp_path / "r.html").read_text() and (tmp_path / "activity_map.yaml").exists()
+    monkeypatch.setattr(cli, "DEFAULT_SOURCES", (str(tmp_path / "nothing"),))
+    assert cli.main([], spark) == 2
+    monkeypatch.setenv("GITHUB_OUTPUT", str(tmp_path / "out"))
+    (tmp_path / "p.yaml").write_text("rules: [{never: escalate}]\n")
+    cli.main(["check", "events.parquet", "-p", "p.yaml", "-o", str(tmp_path / "c.md")], spark)
+    assert [x.split("=")[0] for x in (tmp_path / "out").read_text().splitlines()] == ["status", "fitness", "conforming", "usd-per-case", "off-model-share", "failures"]
+
+
+def test_entry_without_the_training_data_queries(monkeypatch):
+    import importlib
+    import sys
+
+    import __spark_entry__ as entry
+
+    monkeypatch.setitem(sys.modules, "corpus_pipeline", None)  # its import fails
+    names = entry.queries()
+    assert "nodes" in names and not any(n.startswith("op") and n[2:3].isdigit() for n in names) and set(entry.oracle_sql()) <= set(names)
+    importlib.invalidate_caches()

@@ -1,10 +1,11 @@
-"""Commands: ingest, abstract, report, check, diff, version."""
+"""Commands: ingest, abstract, report, check, diff, generate, version; without a command all steps from traces to a report."""
 
 from __future__ import annotations
 
 import argparse
 import os
 import sys
+from datetime import UTC, datetime
 
 import yaml
 from pyspark.sql import DataFrame, SparkSession
@@ -12,11 +13,14 @@ from pyspark.sql import functions as F
 
 from . import __version__
 from .functions.columns import canonical
-from .operators import abstraction, conformance, normalize, pricing
+from .operators import abstraction, backends, conformance, normalize, pricing
 from .plans import findings, reports
 from .plans.flow import ConfigError
-from .sources import detect
+from .plans.staging import staged
+from .sources import detect, synthetic
 
+#: Where traces are looked for if none are named.
+DEFAULT_SOURCES = ("~/.claude/projects",)
 # Dollars per million tokens, input and output.
 PRICES = {
     "claude-opus-5": (5.0, 25.0),
@@ -59,7 +63,7 @@ def _out(text: str, path: str | None) -> None:
 def ingest(spark: SparkSession, a: argparse.Namespace) -> int:
     adapter = detect.pick(spark, a.source, a.adapter)
     prices = pricing.read_prices(spark, a.pricing) if a.pricing else pricing.price_table(spark, PRICES)
-    spans = adapter.read(spark, a.source)
+    spans = staged(adapter.read(spark, a.source), "spans")  # read by several steps, parsed once
     n = detect.write_log(normalize.normalize(spans, prices, a.flatten, a.case or adapter.case), a.output)
     print(f"{n} events")
     log = detect.read_log(spark, a.output)
@@ -69,16 +73,42 @@ def ingest(spark: SparkSession, a: argparse.Namespace) -> int:
     return 0
 
 
-def abstract(spark: SparkSession, a: argparse.Namespace) -> int:
-    labels = [r[0] for r in detect.read_log(spark, a.events).select(canonical(F.col("activity_raw"))).distinct().collect()]
+def abstract(spark: SparkSession, a: argparse.Namespace, send: backends.Send = backends.post) -> int:
+    log = detect.read_log(spark, a.events)
+    raw = log.select("activity_raw").distinct()
+    labels = [r[0] for r in raw.select(canonical(F.col("activity_raw"))).distinct().collect()]
     overrides = {}
     if os.path.exists(a.map):
         with open(a.map) as f:
             overrides = (yaml.safe_load(f) or {}).get("overrides") or {}
-    mapping = abstraction.build(labels)
+    cluster = backends.backend(a.backend, a.model, send)
+    mapping, lost = abstraction.build_counted(labels, cluster, a.target)
+    n_raw = raw.count()
+    coverage = {"raw_labels": n_raw, "canonical_labels": len(labels), "activities": len(set(mapping.values())), "recovered_by_rules": n_raw - len(labels), **lost}
     with open(a.map, "w") as f:
         f.write("# label: activity. Entries under overrides win and are kept.\n")
-        yaml.safe_dump({"version": 1, "backend": "none", "coverage": len(mapping), "overrides": overrides, "mapping": dict(sorted(mapping.items()))}, f, sort_keys=False, allow_unicode=True)
+        head = {"version": 1, "generated": datetime.now(UTC).isoformat(timespec="seconds"), "backend": f"{a.backend}:{a.model or '-'}", "coverage": coverage}
+        yaml.safe_dump({**head, "overrides": overrides, "mapping": dict(sorted(mapping.items()))}, f, sort_keys=False, allow_unicode=True)
+    warn = lambda text: print(text, file=sys.stderr)
+    if overrides:
+        print(f"{len(overrides)} overrides kept")
+    print(f"{n_raw} labels, {len(labels)} canonical, {coverage['activities']} activities -> {a.map}")
+    if coverage["activities"] > a.target:
+        warn(f"{coverage['activities']} activities, more than the target of {a.target}")
+    if cluster and lost["missing_from_llm"]:
+        warn(f"the backend left out {lost['missing_from_llm']} of {len(labels)} labels" + ("; the vocabulary is little more than the rules" if 2 * lost["missing_from_llm"] > len(labels) else ""))
+    if lost["invented_by_llm"]:
+        warn(f"the backend invented {lost['invented_by_llm']} labels; they are dropped")
+    named = abstraction.apply_vocabulary(log, abstraction.vocabulary(spark, mapping, overrides))
+    for r in abstraction.merged_paid_and_free(named).orderBy("activity").collect():
+        warn(f"{r['activity']} merges paid steps ({r['paid']}) with free ones ({r['free']}); the paid ones carry {r['share']:.0%} of the spend")
+    if cluster and cluster.usage:
+        print(f"tokens: {sum(u['input'] for u in cluster.usage)} in, {sum(u['output'] for u in cluster.usage)} out")
+    if a.stability:
+        score = abstraction.stability(labels, cluster, a.stability, a.target)
+        print(f"Rand index of {a.stability} runs: {score:.3f}")
+        if score < 0.9:
+            warn("the vocabulary differs between runs")
     return 0
 
 
@@ -97,7 +127,11 @@ def check(spark: SparkSession, a: argparse.Namespace) -> int:
     rep = conformance.check(_process(a.process), log, _load(spark, a.baseline, a.map) if a.baseline else None)
     text = reports.check_markdown(rep, findings.mine(log))
     _out(text, a.output)
-    for name, body in (("GITHUB_STEP_SUMMARY", text), ("GITHUB_OUTPUT", f"passed={str(rep.ok).lower()}\nfitness={rep.fitness if rep.fitness is not None else ''}\nusd_per_case={rep.usd_per_case}\n")):
+    outputs = {
+        "status": "ok" if rep.ok else "failed", "fitness": "" if rep.fitness is None else f"{rep.fitness:.4f}", "conforming": f"{rep.conforming:.4f}", "usd-per-case": f"{rep.usd_per_case:.6f}",
+        "off-model-share": f"{rep.off_model_share:.4f}", "failures": str(len(rep.failures)),
+    }
+    for name, body in (("GITHUB_STEP_SUMMARY", text), ("GITHUB_OUTPUT", "".join(f"{k}={v}\n" for k, v in outputs.items()))):
         if os.environ.get(name):
             with open(os.environ[name], "a") as f:
                 f.write(body)
@@ -109,9 +143,29 @@ def diff(spark: SparkSession, a: argparse.Namespace) -> int:
     return 0
 
 
+def generate(spark: SparkSession, a: argparse.Namespace) -> int:
+    synthetic.write(spark, a.output, a.runs, a.seed, a.drift)
+    print(f"{a.runs} runs -> {a.output}")
+    return 0
+
+
+def everything(spark: SparkSession, a: argparse.Namespace) -> int:
+    """Traces, vocabulary and report in one go, with the defaults of each step."""
+    source = a.source or next((p for p in map(os.path.expanduser, DEFAULT_SOURCES) if os.path.exists(p)), None)
+    if source is None:
+        raise ConfigError(f"no traces in {', '.join(DEFAULT_SOURCES)}; name them with --from")
+    args = parser().parse_args
+    step = ingest(spark, args(["ingest", source])) or abstract(spark, args(["abstract", "events.parquet"]))
+    out = a.output or ("report.html" if a.format == "html" else "report.md")
+    return step or report(spark, args(["report", "events.parquet", "-f", a.format, "-o", out]))
+
+
 def parser() -> argparse.ArgumentParser:
     p = argparse.ArgumentParser(prog="tracemill")
-    sub = p.add_subparsers(dest="command", required=True)
+    p.add_argument("--from", dest="source")
+    p.add_argument("-f", "--format", default="html", choices=("md", "html"))
+    p.add_argument("-o", "--output")
+    sub = p.add_subparsers(dest="command")
     c = sub.add_parser("ingest")
     c.add_argument("source")
     c.add_argument("-o", "--output", default="events.parquet")
@@ -122,6 +176,15 @@ def parser() -> argparse.ArgumentParser:
     c = sub.add_parser("abstract")
     c.add_argument("events")
     c.add_argument("-m", "--map", default="activity_map.yaml")
+    c.add_argument("--backend", default="none")
+    c.add_argument("--model")
+    c.add_argument("--target", type=int, default=12)
+    c.add_argument("--stability", type=int, default=0, metavar="RUNS")
+    c = sub.add_parser("generate")
+    c.add_argument("-o", "--output", default="traces.jsonl")
+    c.add_argument("-n", "--runs", type=int, default=400)
+    c.add_argument("--seed", type=int, default=7)
+    c.add_argument("--drift", type=float, default=0.0)
     c = sub.add_parser("report")
     c.add_argument("events")
     c.add_argument("-o", "--output")
@@ -152,7 +215,7 @@ def main(args: list[str] | None = None, spark: SparkSession | None = None) -> in
         return 0
     spark = spark or SparkSession.builder.appName("tracemill").config("spark.sql.session.timeZone", "UTC").getOrCreate()
     try:
-        return {"ingest": ingest, "abstract": abstract, "report": report, "check": check, "diff": diff}[a.command](spark, a)
+        return {"ingest": ingest, "abstract": abstract, "report": report, "check": check, "diff": diff, "generate": generate, None: everything}[a.command](spark, a)
     except (ConfigError, ValueError) as e:
         print(e, file=sys.stderr)
         return 2

@@ -40,24 +40,45 @@ def audit(log: DataFrame) -> DataFrame:
 
 
 def build(labels: Iterable[str], cluster: Callable[[list[str], int], dict[str, str]] | None = None, target: int = 12) -> dict[str, str]:
-    """A mapping of canonical labels: chunks are clustered, then the names that came of them once more.
+    """A mapping of canonical labels: chunks are clustered, then the names that came of them once more."""
+    return build_counted(labels, cluster, target)[0]
 
-    A label that the backend leaves out stands for itself; one that it invents is dropped.
-    """
+
+def build_counted(labels: Iterable[str], cluster: Callable[[list[str], int], dict[str, str]] | None = None, target: int = 12) -> tuple[dict[str, str], dict[str, int]]:
+    """The mapping, and how many labels the backend left out (they stand for themselves) and invented (they are dropped)."""
     todo = sorted(set(labels))
     if cluster is None:
-        return {x: x for x in todo}
+        return {x: x for x in todo}, {"missing_from_llm": len(todo), "invented_by_llm": 0}
     found: dict[str, str] = {}
+    invented: set[str] = set()
     for k in range(0, len(todo), CHUNK):
         part = todo[k : k + CHUNK]
         got = cluster(part, target)
-        for x in part:
-            found.setdefault(x, got.get(x) or x)
+        invented |= got.keys() - set(todo)
+        found.update({x: got[x] for x in part if got.get(x)})
+    missing = len(todo) - len(found)
     names = sorted(set(found.values()))
     if len(todo) > CHUNK and len(names) > target:
         merged = cluster(names, target)
         found = {x: merged.get(a) or a for x, a in found.items()}
-    return found
+    return {x: found.get(x, x) for x in todo}, {"missing_from_llm": missing, "invented_by_llm": len(invented)}
+
+
+def stability(labels: Iterable[str], cluster: Callable[[list[str], int], dict[str, str]] | None, runs: int, target: int = 12) -> float:
+    """Mean share of label pairs that two of the runs treat alike."""
+    todo = sorted(set(labels))
+    made = [build(todo, cluster, target) for _ in range(runs)]
+    scores = [rand_index(a, b) for i, a in enumerate(made) for b in made[i + 1 :]]
+    return sum(scores) / len(scores) if scores else 1.0
+
+
+def merged_paid_and_free(log: DataFrame) -> DataFrame:
+    """``activity, paid, free, share``: activities that merge steps that cost something with steps that cost nothing."""
+    by_label = log.groupBy("activity", canonical(F.col("activity_raw")).alias("label")).agg((F.sum(F.col("cost_usd").cast("decimal(28,9)")) > 0).alias("paid"))
+    names = lambda paid: F.array_join(F.sort_array(F.collect_set(F.when(F.col("paid") == paid, F.col("label")))), ", ")
+    lists = by_label.groupBy("activity").agg(names(True).alias("paid"), names(False).alias("free"))
+    mixed = audit(log).filter("paid_labels > 0 AND free_labels > 0").select("activity", "share")
+    return lists.join(mixed, "activity")
 
 
 def rand_index(a: dict[str, str], b: dict[str, str]) -> float:

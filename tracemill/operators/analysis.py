@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import cost, in_case, is_error, money, present, prompt_size
+from ..plans.staging import ranged
 from . import mining
 
 MAX_PERIOD = 4
@@ -17,38 +21,50 @@ def cycle_occurrences(steps: DataFrame, max_period: int = MAX_PERIOD) -> DataFra
 
     ``steps`` is the result of ``mining.collapse_batches``. At a step the period that covers most
     wins, the shorter of equals. How often a block of period p repeats follows from the
-    run of steps that equal the step p ahead, a window; only the choice of what
-    comes after what is a fold over the candidates of a case.
+    first step at or after it that differs from the step p ahead; that step also knows the running
+    cost where the repeats end. Both come from one pass from the last step to the first. The choice of
+    what comes after what reads the candidates of a case once, in their order, and keeps one number.
     """
-    w = Window.partitionBy("case_id").orderBy("pos")
-    ahead = w.rowsBetween(0, Window.unboundedFollowing)
-    s = steps.select("case_id", "pos", "activity", F.col("cost").cast("decimal(28,9)").alias("cost"))
-    for p in range(1, max_period + 1):
-        equal = F.coalesce(F.lead("activity", p).over(w) == F.col("activity"), F.lit(False))
-        s = s.withColumn(f"_e{p}", equal)
-    for p in range(1, max_period + 1):
-        stop = F.min(F.when(~F.col(f"_e{p}"), F.col("pos"))).over(ahead)
-        s = s.withColumn(f"_r{p}", F.floor((stop - F.col("pos")) / p) + 1)
-    tried = [F.when(F.col(f"_r{p}") > 1, F.struct((F.col(f"_r{p}") * p).alias("covers"), F.lit(-p).alias("short"), F.col(f"_r{p}").alias("reps"))) for p in range(1, max_period + 1)]
-    s = s.withColumn("best", F.greatest(*tried)).withColumn("before", F.coalesce(F.sum("cost").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0).cast("decimal(28,9)")))
-    row = F.struct("pos", "activity", F.col("before").cast("decimal(38,9)").alias("before"), "cost", "best")
-    cases = s.groupBy("case_id").agg(F.sort_array(F.collect_list(row)).alias("rows"), F.max(F.col("best").isNotNull()).alias("any")).filter("any")
-    kind = "array<struct<pos:bigint,period:int,reps:bigint>>"
-    zero = F.struct(F.lit(0).cast("long").alias("next"), F.array().cast(kind).alias("found"))
-
-    def take(acc: Column, x: Column) -> Column:
-        hit = F.struct(x["pos"].cast("long").alias("pos"), (-x["best"]["short"]).cast("int").alias("period"), x["best"]["reps"].cast("long").alias("reps"))
-        free = x["pos"] >= acc["next"]
-        return F.struct(F.when(free, x["pos"].cast("long") + x["best"]["covers"]).otherwise(acc["next"]).alias("next"), F.when(free, F.concat(acc["found"], F.array(hit))).otherwise(acc["found"]).alias("found"))
-
-    chosen = cases.withColumn("found", F.aggregate(F.filter("rows", lambda r: r["best"].isNotNull()), zero, take)["found"])
-    x = chosen.select("case_id", "rows", F.explode("found").alias("c")).select("case_id", "rows", "c.*")
-    at = lambda k: F.get("rows", k.cast("int"))
-    end = F.col("pos") + F.col("period") * F.col("reps") - 1
-    block = F.transform(F.slice("rows", F.col("pos").cast("int") + 1, F.col("period")), lambda r: r["activity"])
+    up, down = Window.partitionBy("case_id").orderBy("pos"), Window.partitionBy("case_id").orderBy(F.desc("pos")).rowsBetween(Window.unboundedPreceding, 0)
+    paid = F.col("cost").cast("decimal(28,9)")
+    s = steps.select("case_id", "pos", "activity", F.sum(paid).over(up.rowsBetween(Window.unboundedPreceding, 0)).alias("upto"))
+    periods = range(1, max_period + 1)
+    # The running cost up to each of the next steps; past the end it stays what it is.
+    ahead = [F.col("upto")]
+    for p in periods:
+        ahead.append(F.coalesce(F.lead("upto", p).over(up), ahead[-1]))
+    s = s.select(
+        "case_id", "pos", F.array(*ahead[:-1]).alias("costs"), F.array("activity", *[F.lead("activity", p).over(up) for p in periods[:-1]]).alias("next"),
+        *[F.coalesce(F.lead("activity", p).over(up) == F.col("activity"), F.lit(False)).alias(f"_e{p}") for p in periods],
+    )
+    stop = [F.last(F.when(~F.col(f"_e{p}"), F.struct("pos", "costs")), ignorenulls=True).over(down).alias(f"_s{p}") for p in periods]
+    s = s.select("case_id", "pos", "costs", "next", *stop)
+    tried = []
+    for p in periods:
+        reps = F.floor((F.col(f"_s{p}.pos") - F.col("pos")) / p) + 1
+        # The last repeat ends a few steps after the one that differs.
+        end = (F.col("pos") + reps * p - 1 - F.col(f"_s{p}.pos")).cast("int")
+        extra = F.get(F.col(f"_s{p}.costs"), end) - F.get("costs", F.lit(p - 1))
+        tried.append(F.when(reps > 1, F.struct((reps * p).cast("long").alias("covers"), F.lit(-p).alias("short"), reps.cast("long").alias("reps"), extra.alias("extra"))))
+    s = s.select("case_id", "pos", "next", F.greatest(*tried).alias("best")).filter("best IS NOT NULL")
+    rows = s.select("case_id", "pos", (-F.col("best.short")).alias("period"), "best.reps", F.slice("next", F.lit(1), -F.col("best.short")).alias("block"), F.col("best.extra").alias("extra_cost"))
+
+    def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        case, free = object(), 0
+        for batch in batches:
+            kept = []
+            for k, (c, pos, period, reps) in enumerate(zip(*(batch.column(x).to_pylist() for x in ("case_id", "pos", "period", "reps")), strict=True)):
+                if c != case:
+                    case, free = c, 0
+                if pos >= free:
+                    kept.append(k)
+                    free = pos + period * reps
+            yield batch.take(pa.array(kept, pa.int64()))
+
+    # The windows left the rows of a case together and in order; the sort only says so.
+    chosen = rows.sortWithinPartitions("case_id", "pos").mapInArrow(choose, rows.schema)
     turned = F.transform(F.sequence(F.lit(0), F.col("period") - 1), lambda k: F.concat(F.slice(F.col("block"), k + 1, F.col("period") - k), F.slice(F.col("block"), F.lit(1), k)))
-    extra = at(end)["before"] + at(end)["cost"] - at(F.col("pos") + F.col("period"))["before"]
-    return x.withColumn("block", block).select("case_id", "pos", "period", "reps", F.array_min(turned).alias("pattern"), extra.alias("extra_cost"))
+    return chosen.select("case_id", "pos", "period", "reps", F.array_min(turned).alias("pattern"), "extra_cost")
 
 
 def cycles(occurrences: DataFrame) -> DataFrame:
@@ -71,10 +87,14 @@ def error_kinds(log: DataFrame) -> DataFrame:
 
 
 def upper_median(rows: DataFrame, value: str, by: str) -> DataFrame:
-    """One row: the element at ``n // 2`` of the sorted values."""
-    n = rows.agg(F.count("*").alias("_n"))
-    placed = rows.select(F.row_number().over(Window.orderBy(value, by)).alias("_k"), value)
-    return placed.crossJoin(F.broadcast(n)).filter(F.col("_k") == F.floor(F.col("_n") / 2) + 1).select(F.col(value).alias("median"))
+    """One row: the element at ``n // 2`` of the sorted values. Only the range of rows that holds it is sorted."""
+    r = ranged(rows.select(value, by), F.col(value), F.col(by))
+    ends = Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = r.groupBy("bucket").agg(F.count("*").alias("_k"))
+    sizes = sizes.withColumns({"_before": F.coalesce(F.sum("_k").over(ends), F.lit(0)), "_n": F.sum("_k").over(Window.partitionBy())})
+    holds = sizes.filter("_before <= _n div 2 AND _n div 2 < _before + _k").select("bucket", (F.expr("_n div 2") - F.col("_before")).alias("_place"))
+    placed = r.join(F.broadcast(holds), "bucket").withColumn("_row", F.row_number().over(Window.partitionBy("bucket").orderBy(value, by)) - 1)
+    return placed.filter("_row = _place").select(F.col(value).alias("median"))
 
 
 def tail_variants(found: DataFrame, min_n: int = 2, rare: float = 0.05, dear: float = 2.0) -> DataFrame:
@@ -108,7 +128,9 @@ def carried_turns(log: DataFrame) -> DataFrame:
     turns = log.filter(prompt_size() > 0).select("case_id", "ts_start", "event_id", "activity", prompt_size().alias("prompt"))
     w = in_case()
     turns = turns.withColumns({"k": F.row_number().over(w) - 1, "delta": F.lead("prompt").over(w) - F.col("prompt"), "last": F.count("*").over(Window.partitionBy("case_id")) - 1})
-    reset = F.min(F.when(F.col("delta") < 0, F.col("k"))).over(w.rowsBetween(1, Window.unboundedFollowing))
+    # Read from the end of the case, so that the frame only grows.
+    later = Window.partitionBy("case_id").orderBy(F.desc("k")).rowsBetween(Window.unboundedPreceding, -1)
+    reset = F.min(F.when(F.col("delta") < 0, F.col("k"))).over(later)
     return turns.withColumn("remaining", F.coalesce(reset, F.col("last")) - F.col("k")).filter("delta IS NOT NULL").select("case_id", "k", "activity", "delta", "remaining")
 
 

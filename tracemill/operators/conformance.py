@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import cost, in_case, money
 from ..plans.flow import ANY, INFINITE, ConfigError, Flow, align, parse_flow
+from ..plans.staging import staged
 from . import mining
 
 
@@ -55,22 +56,32 @@ def fitness(flow: Flow, variants: DataFrame) -> DataFrame:
     return out.select("fitting", "n_cases", F.when(F.coalesce("w", F.lit(0)) > 0, 1 - F.col("e") / F.col("w")).otherwise(F.lit(1.0)).alias("fitness"))
 
 
-def deviations(flow: Flow, log: DataFrame) -> DataFrame:
-    """Per move that is not a match: how often, in how many cases, and what log moves cost."""
-    rollup = mining.case_rollup(log).select("case_id", "seq")
-    found = aligned(flow, rollup.groupBy("seq").agg(F.count("*").alias("n"))).filter("edits > 0").select("seq", "n")
+def path_key(seq: Column) -> Column:
+    """A digest that stands for a path, so that events need not carry it."""
+    return F.md5(F.to_json(seq).cast("binary"))
+
+
+def moves(flow: Flow, paths: DataFrame) -> DataFrame:
+    """``path, n, kind, activity, pos``: every move that is not a match, of the paths ``seq, n`` that do not fit."""
+    found = aligned(flow, paths).filter("edits > 0").select(path_key(F.col("seq")).alias("path"), "seq", "n")
 
     def trace(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [(seq, n, *m) for seq, n in zip(batch.column("seq").to_pylist(), batch.column("n").to_pylist(), strict=True) for m in align(flow, seq)[1] if m[0] != "sync"]
-            kinds = [pa.list_(pa.string()), pa.int64(), pa.string(), pa.string(), pa.int32()]
-            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds)], ["seq", "n", "kind", "activity", "pos"])
+            rows = [(key, n, *m) for key, seq, n in zip(*(batch.column(c).to_pylist() for c in ("path", "seq", "n")), strict=True) for m in align(flow, seq)[1] if m[0] != "sync"]
+            kinds = [pa.string(), pa.int64(), pa.string(), pa.string(), pa.int32()]
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds)], ["path", "n", "kind", "activity", "pos"])
 
-    moves = found.mapInArrow(trace, "seq array<string>, n long, kind string, activity string, pos int")
+    return found.mapInArrow(trace, "path string, n long, kind string, activity string, pos int")
+
+
+def deviations(flow: Flow, log: DataFrame) -> DataFrame:
+    """Per move that is not a match: how often, in how many cases, and what log moves cost."""
+    rollup = mining.case_rollup(log).select("case_id", "seq")
+    found = moves(flow, rollup.groupBy("seq").agg(F.count("*").alias("n")))
     placed = log.select("case_id", cost().alias("cost"), (F.row_number().over(in_case()) - 1).alias("pos"))
-    by_place = placed.join(rollup, "case_id").groupBy("seq", "pos").agg(money(F.col("cost")).alias("cost"))
-    priced = moves.join(by_place, ["seq", "pos"], "left").withColumn("cost", F.when(F.col("kind") == "log", F.coalesce("cost", F.lit(0.0))).otherwise(F.lit(0.0)))
-    per_path = priced.groupBy("kind", "activity", "seq").agg(F.sum("n").alias("moves"), F.first("n").alias("cases"), money(F.col("cost")).alias("cost"))
+    by_place = placed.join(rollup.select("case_id", path_key(F.col("seq")).alias("path")), "case_id").groupBy("path", "pos").agg(money(F.col("cost")).alias("cost"))
+    priced = found.join(by_place, ["path", "pos"], "left").withColumn("cost", F.when(F.col("kind") == "log", F.coalesce("cost", F.lit(0.0))).otherwise(F.lit(0.0)))
+    per_path = priced.groupBy("kind", "activity", "path").agg(F.sum("n").alias("moves"), F.first("n").alias("cases"), money(F.col("cost")).alias("cost"))
     return per_path.groupBy("kind", "activity").agg(F.sum("moves").alias("n"), F.sum("cases").alias("cases"), money(F.col("cost")).alias("cost"))
 
 
@@ -102,42 +113,54 @@ class Rule:
         }[self.kind]
 
 
+def violations(log: DataFrame, rules: list[Rule]) -> DataFrame:
+    """``rule`` (its place in the list), ``case_id, n, cost`` of the cases that violate a rule; money only for steps that should not be there.
+
+    All rules share the windows over a case and one aggregation by case.
+    """
+    w, whole = in_case(), Window.partitionBy("case_id")
+    s = log.select(
+        "case_id", "activity", cost().alias("cost"), F.row_number().over(w).alias("pos"), F.lag("activity").over(w).alias("prev"),
+        F.row_number().over(Window.partitionBy("case_id", "activity").orderBy("ts_start", "event_id")).alias("nth") if any(r.kind == "max" for r in rules) else F.lit(0).alias("nth"),
+    )
+    marks = {(r.kind, r.b) for r in rules if r.kind in ("after", "before")}
+    place = {}
+    for k, (kind, b) in enumerate(sorted(marks)):
+        at = F.when(F.col("activity") == b, F.col("pos"))
+        s = s.withColumn(f"_b{k}", F.coalesce(F.max(at).over(whole), F.lit(0)) if kind == "after" else F.coalesce(F.min(at).over(whole), F.lit(1 << 30)))
+        place[kind, b] = F.col(f"_b{k}")
+    of_case = []
+    for r in rules:
+        is_a, is_b, one, free = F.col("activity") == r.a, F.col("activity") == F.lit(r.b), F.lit(1).cast("long"), F.lit(0.0)
+        step = {
+            "after": lambda: (is_a & (F.col("pos") >= place["after", r.b]), free), "before": lambda: (is_a & (F.col("pos") <= place["before", r.b]), free),
+            "never": lambda: (is_a, F.col("cost")), "forbid": lambda: (is_b & (F.col("prev") == r.a), F.col("cost")), "max": lambda: (is_a & (F.col("nth") > r.n), F.col("cost")),
+        }
+        if r.kind in ("always", "first", "last"):
+            ok = {"always": F.max(is_a.cast("int")), "first": F.max((is_a & (F.col("pos") == 1)).cast("int")), "last": (F.max_by("activity", "pos") == r.a).cast("int")}[r.kind]
+            n, paid = F.when(ok == 1, F.lit(0).cast("long")).otherwise(one), free
+        elif r.kind in step:
+            bad, per = step[r.kind]()
+            n, paid = F.sum(F.coalesce(bad, F.lit(False)).cast("long")), money(F.when(bad, per))
+        else:
+            raise ConfigError(f"unknown rule kind {r.kind!r}")
+        of_case.append(F.struct(n.alias("n"), paid.alias("cost")))
+    cases = s.groupBy("case_id").agg(F.array(*of_case).alias("found"))
+    return cases.select(F.posexplode("found").alias("rule", "x"), "case_id").filter("x.n > 0").select("rule", "case_id", "x.n", "x.cost")
+
+
 def rule_violations(log: DataFrame, rule: Rule) -> DataFrame:
-    """``case_id, n, cost`` for the cases that violate a rule; money only for steps that should not be there."""
-    w = in_case()
-    place = F.row_number().over(w)
-    s = log.select("case_id", "activity", cost().alias("cost"), place.alias("pos"), F.lag("activity").over(w).alias("prev"), F.row_number().over(Window.partitionBy("case_id", "activity").orderBy("ts_start", "event_id")).alias("nth"))
-    is_a, is_b = F.col("activity") == rule.a, F.col("activity") == F.lit(rule.b)
-    whole = Window.partitionBy("case_id")
-    if rule.kind in ("always", "first", "last"):
-        holds = {
-            "always": F.max(is_a.cast("int")),
-            "first": F.max((is_a & (F.col("pos") == 1)).cast("int")),
-            "last": F.max((is_a & (F.col("pos") == F.col("size"))).cast("int")),
-        }[rule.kind]
-        cases = s.withColumn("size", F.count("*").over(whole)).groupBy("case_id").agg(holds.alias("ok"))
-        return cases.filter("ok = 0").select("case_id", F.lit(1).cast("long").alias("n"), F.lit(0.0).alias("cost"))
-    if rule.kind == "after":
-        bad, paid = is_a & (F.col("pos") >= F.coalesce(F.max(F.when(is_b, F.col("pos"))).over(whole), F.lit(0))), F.lit(0.0)
-    elif rule.kind == "before":
-        bad, paid = is_a & (F.col("pos") <= F.coalesce(F.min(F.when(is_b, F.col("pos"))).over(whole), F.lit(1 << 30))), F.lit(0.0)
-    elif rule.kind == "never":
-        bad, paid = is_a, F.col("cost")
-    elif rule.kind == "forbid":
-        bad, paid = is_b & (F.col("prev") == rule.a), F.col("cost")
-    elif rule.kind == "max":
-        bad, paid = is_a & (F.col("nth") > rule.n), F.col("cost")
-    else:
-        raise ConfigError(f"unknown rule kind {rule.kind!r}")
-    return s.withColumn("_bad", bad).withColumn("_paid", paid).filter("_bad").groupBy("case_id").agg(F.count("*").alias("n"), money(F.col("_paid")).alias("cost"))
-
-
-def rule_stats(log: DataFrame, rule: Rule) -> DataFrame:
-    """One row: cases, events, cost and up to three example cases."""
-    v = rule_violations(log, rule)
-    return v.agg(F.count("*").alias("cases"), F.coalesce(F.sum("n"), F.lit(0)).alias("events"), money(F.col("cost")).alias("cost")).crossJoin(
-        v.orderBy("case_id").limit(3).agg(F.array_join(F.sort_array(F.collect_list("case_id")), ",").alias("examples"))
-    )
+    """``case_id, n, cost`` for the cases that violate a rule."""
+    return violations(log, [rule]).drop("rule")
+
+
+def rule_stats(log: DataFrame, rules: list[Rule]) -> DataFrame:
+    """``rule, cases, events, cost`` and up to three example cases, for every rule that is violated."""
+    v = violations(log, rules)
+    first = v.withColumn("k", F.row_number().over(Window.partitionBy("rule").orderBy("case_id"))).filter("k <= 3")
+    examples = first.groupBy("rule").agg(F.array_join(F.sort_array(F.collect_list("case_id")), ",").alias("examples"))
+    stats = v.groupBy("rule").agg(F.count("*").alias("cases"), F.sum("n").alias("events"), money(F.col("cost")).alias("cost"))
+    return stats.join(examples, "rule", "left").select("rule", "cases", "events", "cost", F.coalesce("examples", F.lit("")).alias("examples"))
 
 
 # The thresholds that a process may set.
@@ -213,30 +236,44 @@ class Report:
     rules: list[tuple[Rule, dict]]
     deviations: list[dict]
     unseen: list[str]
+    off_model_cost: float = 0.0
     failures: list[str] = field(default_factory=list)
     warnings: list[str] = field(default_factory=list)
 
+    #: Every threshold that was compared: ``(threshold, value, limit, failed)``.
+    compared: list[tuple[str, float, float, bool]] = field(default_factory=list)
+
+    @property
+    def off_model_share(self) -> float:
+        return self.off_model_cost / self.total_cost if self.total_cost else 0.0
+
     @property
-    def off_model_cost(self) -> float:
-        return sum(d["cost"] for d in self.deviations if d["kind"] == "log")
+    def conforming(self) -> float:
+        """Share of the runs that fit the flow; 1 without a flow."""
+        return self.fitting / self.n_cases if self.fitting is not None and self.n_cases else 1.0
 
     @property
     def ok(self) -> bool:
         return not self.failures
 
 
-def check(process: Process, log: DataFrame, baseline: DataFrame | None = None, most: int = 1000) -> Report:
-    """Runs a process against a log. Only aggregates come to the driver, and the ``most`` dearest deviations."""
+def check(process: Process, log: DataFrame, baseline: DataFrame | None = None, shown: int = 1000) -> Report:
+    """Runs a process against a log. Only aggregates come to the driver, and the ``shown`` dearest deviations, which decide nothing."""
     from ..functions.columns import canonical
 
-    rollup = mining.case_rollup(log)
+    rollup = staged(mining.case_rollup(log), "rollup")
     paths = mining.variants(rollup)
     whole = rollup.agg(F.count("*").alias("n"), money(F.col("cost")).alias("c")).first()
     n, total = whole["n"], whole["c"]
     p95 = steps_p95(rollup).first()["steps_p95"] or 0
     fit = fitness(process.flow, paths).first() if process.flow else None
-    dev = [r.asDict() for r in deviations(process.flow, log).orderBy(F.desc("cost"), F.desc("n"), "kind", "activity").limit(most).collect()] if process.flow else []
-    rules = [(r, rule_stats(log, r).first().asDict()) for r in process.rules]
+    dev, off = [], 0.0
+    if process.flow:
+        found = staged(deviations(process.flow, log), "deviations")
+        off = found.filter("kind = 'log'").agg(money(F.col("cost")).alias("c")).first()["c"]
+        dev = [r.asDict() for r in found.orderBy(F.desc("cost"), F.desc("n"), "kind", "activity").limit(shown).collect()]
+    stats = {r["rule"]: {k: r[k] for k in ("cases", "events", "cost", "examples")} for r in rule_stats(log, process.rules).collect()} if process.rules else {}
+    rules = [(r, stats.get(k, {"cases": 0, "events": 0, "cost": 0.0, "examples": ""})) for k, r in enumerate(process.rules)]
     names = sorted(process.names())
     labels = log.select("activity").distinct()
     seen = {r["activity"] for r in labels.filter(F.col("activity").isin(names)).collect()} if names else set()
@@ -245,27 +282,32 @@ def check(process: Process, log: DataFrame, baseline: DataFrame | None = None, m
         close = labels.withColumn("c", canonical(F.col("activity"))).filter(F.col("c").isin(unseen) & (F.col("c") != F.col("activity"))).orderBy("activity").limit(20).collect()
         if close:
             raise ConfigError("the process and the log are at different levels of abstraction: " + ", ".join(f"{r['c']} is {r['activity']} in the log" for r in close))
-    rep = Report(process, n, total, total / n if n else 0.0, float(p95), fit["fitness"] if fit else None, fit["fitting"] if fit else None, rules, dev, unseen)
+    rep = Report(process, n, total, total / n if n else 0.0, float(p95), fit["fitness"] if fit else None, fit["fitting"] if fit else None, rules, dev, unseen, off)
     if unseen:
         rep.warnings.append("declared but never seen in the log: " + ", ".join(unseen))
     if process.case:
         rep.warnings.append(f"the process is declared for the case notion {process.case}")
-    judge(rep, check(process, baseline, most=most) if baseline is not None else None)
+    judge(rep, check(process, baseline, shown=shown) if baseline is not None else None)
     return rep
 
 
 def judge(rep: Report, base: Report | None) -> None:
-    """Adds what fails to ``rep``."""
-    t, say = rep.process.thresholds, rep.failures.append
-    if rep.fitness is not None and rep.fitness < t.get("fitness_min", -1):
-        say(f"fitness {rep.fitness:.3f} is under {t['fitness_min']:.3f}")
-    if rep.usd_per_case > t.get("usd_per_case_max", float("inf")):
-        say(f"${rep.usd_per_case:.4f} a run is over ${t['usd_per_case_max']:.4f}")
-    if rep.steps_p95 > t.get("steps_p95_max", float("inf")):
-        say(f"run length p95 {rep.steps_p95:.0f} is over {t['steps_p95_max']:.0f}")
-    share = rep.off_model_cost / rep.total_cost if rep.total_cost else 0.0
-    if share > t.get("off_model_share_max", float("inf")):
-        say(f"off-model spend {share:.1%} is over {t['off_model_share_max']:.1%}")
+    """Adds what was compared, and what fails, to ``rep``."""
+    t = rep.process.thresholds
+
+    def compare(key: str, value: float | None, text: str, least: bool = False) -> None:
+        if key not in t or value is None:
+            return
+        failed = value < t[key] if least else value > t[key]
+        rep.compared.append((key, float(value), t[key], failed))
+        if failed:
+            rep.failures.append(text)
+
+    share = rep.off_model_share
+    compare("fitness_min", rep.fitness, f"fitness {rep.fitness or 0:.3f} is under {t.get('fitness_min', 0):.3f}", least=True)
+    compare("usd_per_case_max", rep.usd_per_case, f"${rep.usd_per_case:.4f} a run is over ${t.get('usd_per_case_max', 0):.4f}")
+    compare("steps_p95_max", rep.steps_p95, f"run length p95 {rep.steps_p95:.0f} is over {t.get('steps_p95_max', 0):.0f}")
+    compare("off_model_share_max", share, f"off-model spend {share:.1%} is over {t.get('off_model_share_max', 0):.1%}")
     for rule, s in rep.rules:
         part = s["cases"] / rep.n_cases if rep.n_cases else 0.0
         if part > rule.allow:
@@ -273,7 +315,7 @@ def judge(rep: Report, base: Report | None) -> None:
     if base is None:
         return
     for key, now, then, what in (("usd_per_case_increase_max", rep.usd_per_case, base.usd_per_case, "cost a run"), ("steps_increase_max", rep.steps_p95, base.steps_p95, "run length p95")):
-        if key in t and then and (now - then) / then > t[key]:
-            say(f"{what} grew by {(now - then) / then:+.1%}, allowed {t[key]:+.1%}")
-    if "fitness_drop_max" in t and rep.fitness is not None and base.fitness is not None and base.fitness - rep.fitness > t["fitness_drop_max"]:
-        say(f"fitness dropped by {base.fitness - rep.fitness:.3f}, allowed {t['fitness_drop_max']:.3f}")
+        grown = (now - then) / then if then else None
+        compare(key, grown, f"{what} grew by {grown or 0:+.1%}, allowed {t.get(key, 0):+.1%}")
+    drop = base.fitness - rep.fitness if rep.fitness is not None and base.fitness is not None else None
+    compare("fitness_drop_max", drop, f"fitness dropped by {drop or 0:.3f}, allowed {t.get('fitness_drop_max', 0):.3f}")

@@ -2,7 +2,7 @@
 
 An event log is a DataFrame with the columns of ``schema.EVENT``. All operators
 partition by case (or by what they group by) and aggregate partially first; the
-batch parents, which may span cases, take one more shuffle by parent.
+batch parents, which may span cases, take one more shuffle by id.
 """
 
 from __future__ import annotations
@@ -11,12 +11,16 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import END, START, cost, duration, event_tokens, in_case, is_error, money, path_text, present
+from ..plans.staging import ranged, running
 
 
 def batch_parents(log: DataFrame) -> DataFrame:
     """``parent_id, n``: events of the log that have several children in it."""
-    children = log.filter(F.col("parent_id").isNotNull()).groupBy("parent_id").agg(F.count("*").alias("n")).filter("n > 1")
-    return children.join(log.select(F.col("event_id").alias("parent_id")).distinct(), "parent_id", "left_semi")
+    # Children and ids are counted by one aggregation over one scan.
+    ends = F.array(F.struct(F.col("parent_id").alias("key"), F.lit(1).alias("child")), F.struct(F.col("event_id").alias("key"), F.lit(0).alias("child")))
+    keys = log.select(F.explode(ends).alias("x")).select("x.*").filter("key IS NOT NULL")
+    found = keys.groupBy("key").agg(F.sum("child").alias("n"), F.min("child").alias("least"))
+    return found.filter("n > 1 AND least = 0").select(F.col("key").alias("parent_id"), "n")
 
 
 def with_batches(log: DataFrame) -> DataFrame:
@@ -57,17 +61,19 @@ def variant_reuse(found: DataFrame) -> DataFrame:
 
 
 def pareto(found: DataFrame, min_n: int = 1) -> DataFrame:
-    """Paths by cost per case, dearest first, with the running share of all cost.
+    """Paths by cost per case, dearest first, with the running shares of all cost and of all cases.
 
-    Cases and cost of all paths are the whole, also of those under ``min_n`` runs. The
-    running sum needs one order over the distinct paths; it is over paths, not cases.
+    Cases and cost of all paths are the whole, also of those under ``min_n`` runs. The running
+    sums are made within ranges of the order, so that no task sees all paths.
     """
     whole = found.agg(F.sum("n").alias("all_n"), F.sum(F.col("cost").cast("decimal(28,9)")).alias("all_cost"))
-    w = Window.orderBy(F.col("cost_avg").desc(), "example_case").rowsBetween(Window.unboundedPreceding, 0)
-    kept = found.filter(F.col("n") >= min_n).withColumn("cost_avg", F.col("cost") / F.col("n"))
-    kept = kept.withColumn("run", F.sum(F.col("cost").cast("decimal(28,9)")).over(w)).crossJoin(F.broadcast(whole))
+    order = [F.col("cost_avg").desc(), F.col("example_case")]
+    kept = ranged(found.filter(F.col("n") >= min_n).withColumn("cost_avg", F.col("cost") / F.col("n")), *order)
+    kept = running(kept, order, run=F.col("cost").cast("decimal(28,9)"), run_n=F.col("n")).crossJoin(F.broadcast(whole))
     share = F.when(F.col("all_cost") != 0, F.col("run").cast("double") / F.col("all_cost").cast("double")).otherwise(F.lit(0.0))
-    return kept.select("seq", "example_case", "n", "cost_avg", (F.col("n") / F.col("all_n")).alias("case_share"), share.alias("cum_cost_share"))
+    return kept.select(
+        "seq", "example_case", "n", "cost_avg", (F.col("n") / F.col("all_n")).alias("case_share"), share.alias("cum_cost_share"), (F.col("run_n") / F.col("all_n")).alias("cum_case_share")
+    )
 
 
 def nodes(log: DataFrame) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import present
 from ..plans.staging import staged
+from ..sources import json_text
 from ..sources.tables import canonical_columns
 from . import pricing
 
@@ -31,25 +32,40 @@ MARKERS = ("gen_ai.operation.name", "gen_ai.tool.name", "tool.name", "llm.reques
 FOLDED = ("gpt-", "o1", "o3", "o4", "chatgpt", "text-embedding")
 EXCLUSIVE = ("claude-", "anthropic.claude", "gemini-", "models/gemini")
 DECLARED = "tracemill.input_includes_cache"
+#: Values, as JSON text, that declare nothing.
+FALSE = ("false", "0", "0.0", "-0.0", '""', "[]", "{}")
 MAX_DEPTH = 64
 
 
+def raw_attribute(field: str, attrs: str = "attrs") -> Column:
+    """The first alias that has a value, as JSON text. Each alias is named once, as filters repeat what they are pushed through."""
+    return F.get(F.filter(F.array(*[F.try_element_at(attrs, F.lit(k)) for k in ALIASES[field]]), lambda v: v != "null"), F.lit(0))
+
+
 def attribute(field: str, attrs: str = "attrs") -> Column:
-    return F.coalesce(*[F.element_at(attrs, k) for k in ALIASES[field]])
+    return json_text.text_of(raw_attribute(field, attrs))
 
 
 def number(field: str) -> Column:
-    """A count: the first alias that is there decides, and what is no integer counts 0."""
-    v = attribute(field)
-    return F.coalesce(F.try_to_number(v, F.lit("S999999999999999999")).cast("long"), F.when(v == "true", 1), F.lit(0)).cast("long")
+    return count_of(raw_attribute(field))
+
+
+def count_of(v: Column) -> Column:
+    """A JSON value as a count: a fraction is cut off, and what is no number counts 0; a text counts only if it is written as an integer."""
+
+    def read(x: Column) -> Column:
+        text = F.btrim(json_text.text_of(x), F.lit(" \t\n\r"))
+        part = F.when(~F.startswith(x, F.lit('"')), text.try_cast("double"))
+        return F.coalesce(F.when(text.rlike(r"^[+-]?\d+$"), text.try_cast("bigint")), F.when(x == "true", 1), F.when(F.abs(part) < 9e18, part.cast("bigint")))
+
+    return F.coalesce(F.get(F.transform(F.array(v), read), F.lit(0)), F.lit(0)).cast("long")
 
 
 def is_operation() -> Column:
     return F.arrays_overlap(F.map_keys("attrs"), F.array(*[F.lit(m) for m in MARKERS]))
 
 
-def activity_name() -> Column:
-    tool, op, model = (present(attribute(f)) for f in ("tool", "operation", "model"))
+def activity_name(tool: Column, op: Column, model: Column) -> Column:
     return F.coalesce(F.concat(F.lit("tool:"), tool), F.concat(op, F.lit(":"), model), op, present(F.col("name")), F.lit("unknown"))
 
 
@@ -64,9 +80,10 @@ def inherit(nodes: DataFrame, value: str, depth: int = MAX_DEPTH) -> DataFrame:
 
     ``nodes`` has ``id, parent_id`` and the value. Pointers double: after each of at most seven joins
     a node looks twice as far. Each round is staged; it stops when no pointer is open. Of rows of one id the
-    greatest counts.
+    first counts, by ``at`` if there is such a column, else the least.
     """
-    reach = nodes.groupBy("id").agg(F.max_by(F.struct("parent_id", value), F.struct(F.coalesce("parent_id", F.lit("")), F.coalesce(value, F.lit("")))).alias("x"))
+    order = F.struct(F.col("at") if "at" in nodes.columns else F.lit(0).alias("at"), F.coalesce("parent_id", F.lit("")).alias("p"), F.coalesce(value, F.lit("")).alias("v"))
+    reach = nodes.groupBy("id").agg(F.min_by(F.struct("parent_id", value), order).alias("x"))
     open_ = F.when(F.col("x." + value).isNull() & (F.col("x.parent_id") != F.col("id")), F.col("x.parent_id"))
     state = staged(reach.select("id", F.col("x." + value).alias("v"), open_.alias("up"), F.lit(1).alias("far")), "inherit")
     step = 1
@@ -86,10 +103,9 @@ def inherit(nodes: DataFrame, value: str, depth: int = MAX_DEPTH) -> DataFrame:
 
 def includes_cache(model: Column) -> Column:
     """Whether the input count includes cached tokens: declared, else by model, else unknown (null)."""
-    name = F.ltrim(F.lower(model), F.lit("/"))
-    prefix = lambda names: F.array_contains(F.array(*[F.startswith(name, F.lit(p)) for p in names]), True)
-    declared = F.element_at("attrs", DECLARED)
-    return F.when(declared.isNotNull(), ~declared.isin("", "0")).when(prefix(FOLDED), True).when(prefix(EXCLUSIVE), False)
+    of = lambda names: "^/*(" + "|".join(names) + ")"
+    declared = F.get(F.filter(F.array(F.try_element_at("attrs", F.lit(DECLARED))), lambda v: v != "null"), F.lit(0))
+    return F.when(declared.isNotNull(), ~declared.isin(*FALSE)).when(F.lower(model).rlike(of(FOLDED)), True).when(F.lower(model).rlike(of(p.replace(".", r"\.") for p in EXCLUSIVE)), False)
 
 
 def normalize(spans: DataFrame, prices: DataFrame, flatten: str = "genai", case: str = "trace") -> DataFrame:
@@ -101,33 +117,35 @@ def normalize(spans: DataFrame, prices: DataFrame, flatten: str = "genai", case:
     if case == "trace":
         notion = trace
     elif case.startswith("attr:"):
-        notion = F.coalesce(present(F.element_at("attrs", case[5:])), trace)
+        notion = F.coalesce(present(json_text.plain(F.element_at("attrs", case[5:]))), trace)
     elif case in ("session", "task"):
         notion = trace
         for field in ("session", "task")[: 1 + (case == "task")]:
-            own = spans.select(F.col("span_id").alias("id"), "parent_id", present(attribute(field)).alias(field))
+            own = spans.select(F.col("span_id").alias("id"), "parent_id", present(attribute(field)).alias(field), F.col("ts_start").alias("at"))
             kept = kept.join(inherit(own, field).withColumnsRenamed({"id": f"_{field}_id", field: f"_{field}"}), F.col("span_id") == F.col(f"_{field}_id"), "left")
             notion = F.coalesce(F.col(f"_{field}"), notion)
     else:
         raise ValueError(f"unknown case notion {case!r}")
-    w5, w1 = number("cache_write_5m"), number("cache_write_1h")
-    total = number("cache_write")
-    fields = kept.withColumns(
+    # The raw values first, each once; what follows reads them by name.
+    raw = kept.withColumns({"_case": F.coalesce(notion, F.lit("unknown")), **{f"_raw_{f}": raw_attribute(f) for f in ALIASES}})
+    plain = {f"_{f}": present(json_text.text_of(F.col(f"_raw_{f}"))) for f in ("model", "tool", "agent", "operation")}
+    counts = {f"_{f}": count_of(F.col(f"_raw_{f}")) for f in ("tokens_in", "tokens_out", "tokens_cached", "cache_write", "cache_write_5m", "cache_write_1h")}
+    fields = raw.withColumns({**plain, **counts}).withColumns(
         {
-            "_case": F.coalesce(notion, F.lit("unknown")), "_model": present(attribute("model")), "_tool": present(attribute("tool")),
-            "_agent": F.coalesce(present(attribute("agent")), F.element_at("resource_attrs", "service.name")),
-            "_in": number("tokens_in"), "_out": number("tokens_out"), "_cached": number("tokens_cached"),
-            "_w5": F.when((w5 == 0) & (w1 == 0), total).otherwise(w5), "_w1": w1,
+            "_agent": F.coalesce("_agent", json_text.plain(F.element_at("resource_attrs", "service.name"))),
+            "_in": F.col("_tokens_in"), "_out": F.col("_tokens_out"), "_cached": F.col("_tokens_cached"), "_w1": F.col("_cache_write_1h"),
+            "_w5": F.when((F.col("_cache_write_5m") == 0) & (F.col("_cache_write_1h") == 0), F.col("_cache_write")).otherwise(F.col("_cache_write_5m")),
+            "_activity": activity_name(F.col("_tool"), F.col("_operation"), F.col("_model")),
         }
     )
     fields = fields.withColumn("_folded", includes_cache(F.col("_model")))
-    fields = fields.withColumn("_in", F.when(F.col("_folded") & (F.col("_in") > 0) & (F.col("_cached") > 0), F.greatest(F.col("_in") - F.col("_cached"), F.lit(0))).otherwise(F.col("_in")))
+    fields = fields.withColumn("_in", F.greatest(F.col("_in") - F.when(F.col("_folded"), F.col("_cached")).otherwise(0), F.least("_in", F.lit(0))))
     priced = pricing.with_prices(fields, "_model", prices)
     return canonical_columns(
-        priced, case_id=F.col("_case"), event_id=F.col("span_id"), activity_raw=activity_name(), activity=activity_name(), ts_start=F.col("ts_start"), ts_end=F.col("ts_end"),
+        priced, case_id=F.col("_case"), event_id=F.col("span_id"), activity_raw=F.col("_activity"), activity=F.col("_activity"), ts_start=F.col("ts_start"), ts_end=F.col("ts_end"),
         parent_id=F.col("parent_id"), agent=F.col("_agent"), resource=F.coalesce("_model", "_tool"), tokens_in=F.col("_in"), tokens_cached=F.col("_cached"),
         tokens_cache_write=F.col("_w5") + F.col("_w1"), tokens_out=F.col("_out"), cost_usd=pricing.cost("_in", "_out", "_cached", "_w5", "_w1"),
-        status=F.col("status"), error_type=F.col("error_type"), attrs=F.to_json("attrs"),
+        status=F.col("status"), error_type=F.col("error_type"), attrs=json_text.object_text(F.map_entries("attrs")),
     )
 
 

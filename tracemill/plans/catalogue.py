@@ -8,6 +8,7 @@ from ..functions.columns import canonical, path_digest, path_text
 from ..operators import abstraction, analysis, conformance, mining, normalize, pricing
 from ..sources import tables
 from .flow import parse_flow
+from .staging import staged
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
@@ -21,7 +22,7 @@ ORDER = """raw AS (
   UNION ALL SELECT CAST(o_custkey AS VARCHAR), 'L-' || l_orderkey || '-' || l_linenumber || '-' || l_partkey || '-' || l_suppkey, 'tool:' || l_returnflag || l_linestatus,
     epoch_us(o_orderdate) / 1e6 + row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey), 'O-' || l_orderkey, NULL, 0 FROM lineitem JOIN orders ON l_orderkey = o_orderkey
 ), parents AS (SELECT parent_id, count(*) AS n FROM raw WHERE parent_id IS NOT NULL AND parent_id IN (SELECT event_id FROM raw) GROUP BY parent_id HAVING count(*) > 1),
-log AS (SELECT raw.*, parents.parent_id AS batch, CAST(NULL AS DOUBLE) AS ts_end, 0 AS err FROM raw LEFT JOIN parents USING (parent_id))"""
+log AS (SELECT raw.*, parents.parent_id AS batch, CAST(NULL AS DOUBLE) AS ts_end, 0 AS err, 0::BIGINT AS prompt FROM raw LEFT JOIN parents USING (parent_id))"""
 MONEY = "CAST(coalesce(sum(CAST({} AS DECIMAL(28,9))), 0) AS DOUBLE)"
 M = MONEY.format("cost")
 CASES = f"cases AS (SELECT case_id, string_agg(activity, '>' ORDER BY ts_start, event_id) AS path, count(*) AS n_events, {M} AS cost, sum(err) AS errors FROM log GROUP BY case_id)"
@@ -42,6 +43,11 @@ def query(sql: str | None = None):
     return add
 
 
+def _order_log(spark, sf_dir):
+    """The derived log as a table, as an ingest would leave it; batches read it more than once."""
+    return staged(tables.log_order(spark, sf_dir), "log")
+
+
 def _day_paths(spark, sf_dir):
     return mining.variants(mining.case_rollup(tables.log_user_day(spark, sf_dir)))
 
@@ -81,7 +87,8 @@ def variant_reuse_user(spark, sf_dir):
 
 @query(
     f"""{DAY_PATHS} SELECT example_case, n, cost / n AS cost_avg, n / (SELECT sum(n) FROM paths)::DOUBLE AS case_share,
-  CAST(sum(CAST(cost AS DECIMAL(28,9))) OVER (ORDER BY cost / n DESC, example_case ROWS UNBOUNDED PRECEDING) AS DOUBLE) / CAST((SELECT sum(CAST(cost AS DECIMAL(28,9))) FROM paths) AS DOUBLE) AS cum_cost_share FROM paths WHERE n >= 2"""
+  CAST(sum(CAST(cost AS DECIMAL(28,9))) OVER (ORDER BY cost / n DESC, example_case ROWS UNBOUNDED PRECEDING) AS DOUBLE) / CAST((SELECT sum(CAST(cost AS DECIMAL(28,9))) FROM paths) AS DOUBLE) AS cum_cost_share,
+  sum(n) OVER (ORDER BY cost / n DESC, example_case ROWS UNBOUNDED PRECEDING) / (SELECT sum(n) FROM paths)::DOUBLE AS cum_case_share FROM paths WHERE n >= 2"""
 )
 def pareto(spark, sf_dir):
     return mining.pareto(_day_paths(spark, sf_dir), min_n=2).drop("seq")
@@ -102,7 +109,7 @@ RESOURCES = f"res AS (SELECT resource, count(*) AS n, {M} AS cost FROM log WHERE
 
 @query(f"WITH {ORDER}, {RESOURCES} SELECT resource, n, cost, 0::BIGINT AS tokens FROM res")
 def resources(spark, sf_dir):
-    return mining.resources(tables.log_order(spark, sf_dir))
+    return mining.resources(_order_log(spark, sf_dir))
 
 
 EDGES = f"""steps AS (SELECT *, lag(activity) OVER w AS prev, lead(activity) OVER w AS nxt, CASE WHEN lag(batch) OVER w = batch THEN 1 ELSE 0 END AS par FROM log WINDOW w AS {W}),
@@ -121,17 +128,17 @@ def edges(spark, sf_dir):
 
 @query(f"WITH {ORDER}, {EDGES} SELECT * FROM edges")
 def edges_parallel(spark, sf_dir):
-    return _edges(tables.log_order(spark, sf_dir))
+    return _edges(_order_log(spark, sf_dir))
 
 
 @query(f"WITH {ORDER} SELECT parent_id, n FROM parents")
 def batch_parents(spark, sf_dir):
-    return mining.batch_parents(tables.log_order(spark, sf_dir))
+    return mining.batch_parents(_order_log(spark, sf_dir))
 
 
 @query(f"WITH {ORDER} SELECT count(*) AS batches, CAST(sum(n) AS BIGINT) AS parallel_events, CAST(sum(n) - count(*) AS BIGINT) AS turns_saved, sum(n) / (SELECT count(*) FROM log)::DOUBLE AS parallel_rate FROM parents")
 def parallel_counters(spark, sf_dir):
-    return mining.parallel_counters(tables.log_order(spark, sf_dir))
+    return mining.parallel_counters(_order_log(spark, sf_dir))
 
 
 REWORK = """firsts AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY case_id, activity, coalesce(batch, event_id) ORDER BY ts_start, event_id) AS again FROM log) WHERE again = 1),
@@ -140,7 +147,7 @@ rework AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY case_id, act
 
 @query(f"WITH {ORDER}, {REWORK} SELECT activity, count(*) AS rework, {M} AS loop_cost FROM rework GROUP BY activity")
 def loop_cost(spark, sf_dir):
-    return mining.loop_cost(mining.with_batches(tables.log_order(spark, sf_dir)))
+    return mining.loop_cost(mining.with_batches(_order_log(spark, sf_dir)))
 
 
 @query(f"WITH {DAY}, {REWORK} SELECT (SELECT count(*) FROM rework) AS rework_events, count(*) AS n_events, (SELECT count(*) FROM rework) / count(*)::DOUBLE AS rework_rate FROM log")
@@ -155,15 +162,15 @@ flat AS (SELECT case_id, pos, min(activity) AS activity, {M} AS cost, count(*) A
 
 @query(f"WITH {ORDER}, {COLLAPSE} SELECT * FROM flat")
 def collapsed_log(spark, sf_dir):
-    return mining.collapse_batches(mining.with_batches(tables.log_order(spark, sf_dir)))
+    return mining.collapse_batches(mining.with_batches(_order_log(spark, sf_dir)))
 
 
-def _cycle_sql(log: str) -> str:
-    """Greedy choice by recursion over the positions of each case."""
+def _cycle_parts() -> str:
+    """Greedy choice by recursion over the positions of each case; the patterns are in ``cyc``."""
     eq = ", ".join(f"lead(activity, {p}) OVER w = activity AS e{p}" for p in range(1, 5))
     runs = ", ".join(f"(min(CASE WHEN coalesce(e{p}, false) THEN NULL ELSE pos END) OVER (PARTITION BY case_id ORDER BY pos ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) - pos) // {p} + 1 AS r{p}" for p in range(1, 5))
     best = " UNION ALL ".join(f"SELECT case_id, pos, {p} AS p, r{p} AS reps FROM runs WHERE r{p} > 1" for p in range(1, 5))
-    return f"""WITH RECURSIVE {log}, {COLLAPSE}, eqs AS (SELECT *, {eq} FROM flat WINDOW w AS (PARTITION BY case_id ORDER BY pos)), runs AS (SELECT case_id, pos, {runs} FROM eqs),
+    return f"""{COLLAPSE}, eqs AS (SELECT *, {eq} FROM flat WINDOW w AS (PARTITION BY case_id ORDER BY pos)), runs AS (SELECT case_id, pos, {runs} FROM eqs),
 best AS (SELECT case_id, pos, p, reps FROM (SELECT *, row_number() OVER (PARTITION BY case_id, pos ORDER BY p * reps DESC, p) AS k FROM ({best})) WHERE k = 1),
 walk AS (
   SELECT case_id, 0::BIGINT AS pos FROM (SELECT DISTINCT case_id FROM flat)
@@ -171,9 +178,13 @@ walk AS (
 ), hits AS (SELECT b.* FROM walk AS w JOIN best AS b ON b.case_id = w.case_id AND b.pos = w.pos),
 spans AS (SELECT h.case_id, h.pos, h.p, h.reps, list(f.activity ORDER BY f.pos) AS block FROM hits AS h JOIN flat AS f ON f.case_id = h.case_id AND f.pos >= h.pos AND f.pos < h.pos + h.p GROUP BY ALL),
 keyed AS (SELECT *, list_min(list_transform(range(1, p + 1), lambda k: list_concat(block[k:p], block[1:k - 1]))) AS pattern FROM spans),
-money AS (SELECT h.case_id, h.pos, sum(CAST(f.cost AS DECIMAL(28,9))) AS extra FROM hits AS h JOIN flat AS f ON f.case_id = h.case_id AND f.pos >= h.pos + h.p AND f.pos < h.pos + h.p * h.reps GROUP BY h.case_id, h.pos)
-SELECT array_to_string(pattern, '>') AS pattern, CAST(sum(reps - 1) AS BIGINT) AS occurrences, count(DISTINCT case_id) AS cases, CAST(sum(extra) AS DOUBLE) AS extra_cost, CAST(sum((reps - 1) * p) AS BIGINT) AS extra_events, CAST(max(reps) AS BIGINT) AS max_repeats
-FROM keyed JOIN money USING (case_id, pos) GROUP BY pattern"""
+money AS (SELECT h.case_id, h.pos, sum(CAST(f.cost AS DECIMAL(28,9))) AS extra FROM hits AS h JOIN flat AS f ON f.case_id = h.case_id AND f.pos >= h.pos + h.p AND f.pos < h.pos + h.p * h.reps GROUP BY h.case_id, h.pos),
+cyc AS (SELECT array_to_string(pattern, '>') AS pattern, CAST(sum(reps - 1) AS BIGINT) AS occurrences, count(DISTINCT case_id) AS cases, CAST(sum(extra) AS DOUBLE) AS extra_cost, CAST(sum((reps - 1) * p) AS BIGINT) AS extra_events, CAST(max(reps) AS BIGINT) AS max_repeats
+FROM keyed JOIN money USING (case_id, pos) GROUP BY pattern)"""
+
+
+def _cycle_sql(log: str) -> str:
+    return f"WITH RECURSIVE {log}, {_cycle_parts()} SELECT * FROM cyc"
 
 
 def _cycles(log):
@@ -193,7 +204,7 @@ def cycles_user(spark, sf_dir):
 
 @query(_cycle_sql(ORDER))
 def cycles_order(spark, sf_dir):
-    return _cycles(tables.log_order(spark, sf_dir))
+    return _cycles(_order_log(spark, sf_dir))
 
 
 @query(
@@ -226,7 +237,7 @@ def tail_variants(spark, sf_dir):
     f"WITH {ORDER}, {RESOURCES} SELECT resource, n, cost, 0::BIGINT AS tokens, cost / (SELECT sum(cost) FROM res) AS cost_share, n / (SELECT sum(n) FROM res)::DOUBLE AS call_share FROM res WHERE cost / (SELECT sum(cost) FROM res) > 0.15 AND n / (SELECT sum(n) FROM res)::DOUBLE < 0.5 ORDER BY cost DESC, resource LIMIT 1"
 )
 def escalation(spark, sf_dir):
-    return analysis.escalation(mining.resources(tables.log_order(spark, sf_dir)), of_cost=0.15, of_calls=0.5)
+    return analysis.escalation(mining.resources(_order_log(spark, sf_dir)), of_cost=0.15, of_calls=0.5)
 
 
 @query(f"WITH {DAY} SELECT 0::BIGINT AS tokens_in, CAST(sum(prompt) AS BIGINT) AS tokens_cached, 1.0::DOUBLE AS hit_rate FROM log")
@@ -273,7 +284,7 @@ def reuse_depth(spark, sf_dir):
 
 @query(f"WITH {ORDER}, {EDGES}, touch AS (SELECT activity, CAST(sum(n) AS BIGINT) AS touches FROM (SELECT src AS activity, n FROM edges UNION ALL SELECT dst, n FROM edges) WHERE activity NOT IN ('START', 'END') GROUP BY activity), t AS (SELECT CAST(sum(n) AS BIGINT) AS transitions FROM edges) SELECT activity, touches, transitions FROM (SELECT * FROM touch ORDER BY touches DESC, activity LIMIT 1), t WHERE touches / transitions::DOUBLE >= 0.2")
 def hub(spark, sf_dir):
-    return mining.hub(_edges(tables.log_order(spark, sf_dir)), share=0.2)
+    return mining.hub(_edges(_order_log(spark, sf_dir)), share=0.2)
 
 
 @query(f"WITH {DAY}, {EDGES}, keep AS (SELECT activity FROM (SELECT activity, {M} AS c FROM log GROUP BY activity ORDER BY c DESC, activity LIMIT 4) UNION ALL SELECT 'START' UNION ALL SELECT 'END') SELECT * FROM edges WHERE src IN (SELECT activity FROM keep) AND dst IN (SELECT activity FROM keep) AND n >= 0.02 * (SELECT count(DISTINCT case_id) FROM log)")
@@ -282,9 +293,9 @@ def spine(spark, sf_dir):
     return mining.spine(_edges(log), mining.nodes(log), mining.totals(log), max_nodes=4)
 
 
-def _halves(spark, sf_dir):
+def _halves(spark, sf_dir, cut=CUT):
     log = tables.log_user_day(spark, sf_dir)
-    return log.filter(F.col("ts_start") < CUT), log.filter(F.col("ts_start") >= CUT)
+    return log.filter(F.col("ts_start") < cut), log.filter(F.col("ts_start") >= cut)
 
 
 HALF = {k: f"{k}_log AS (SELECT * FROM log WHERE ts_start {op} {CUT})" for k, op in (("b", "<"), ("a", ">="))}
@@ -318,9 +329,14 @@ def drift_variants(spark, sf_dir):
     return analysis.drift_variants(before, after).select("kind", path_text(F.col("seq")).alias("path"), "n")
 
 
-@query(f"{DRIFT}, {_half_sql('b', EDGES)}, {_half_sql('a', EDGES)} SELECT 'new' AS kind, src, dst, n FROM a_edges WHERE (src, dst) NOT IN (SELECT (src, dst) FROM b_edges) UNION ALL SELECT 'gone', src, dst, n FROM b_edges WHERE (src, dst) NOT IN (SELECT (src, dst) FROM a_edges)")
+#: The first hours have few transitions, so that many are new after them.
+EARLY = 1704067200.0 + 6 * 3600
+EARLY_DRIFT = DRIFT.replace(str(CUT), str(EARLY))
+
+
+@query(f"{EARLY_DRIFT}, {_half_sql('b', EDGES)}, {_half_sql('a', EDGES)} SELECT 'new' AS kind, src, dst, n FROM a_edges WHERE (src, dst) NOT IN (SELECT (src, dst) FROM b_edges) UNION ALL SELECT 'gone', src, dst, n FROM b_edges WHERE (src, dst) NOT IN (SELECT (src, dst) FROM a_edges)")
 def drift_edges(spark, sf_dir):
-    before, after = (_edges(x) for x in _halves(spark, sf_dir))
+    before, after = (_edges(x) for x in _halves(spark, sf_dir, EARLY))
     return analysis.drift_edges(before, after)
 
 
@@ -348,9 +364,23 @@ def alignment_cost(spark, sf_dir):
     return conformance.aligned(parse_flow(FLOW), _day_paths(spark, sf_dir)).select(path_text(F.col("seq")).alias("path"), "edits")
 
 
-@query()
+#: Every error is a move on the log, and no run is ever done: both without a choice between equal alignments.
+OPEN_FLOW = "(view | click | signup | purchase)* -> done"
+
+
+@query(
+    f"""WITH {DAY} SELECT 'log' AS kind, 'error' AS activity, count(*) AS n, count(DISTINCT case_id) AS cases, {M} AS cost FROM log WHERE activity = 'error' HAVING count(*) > 0
+UNION ALL SELECT 'model', 'click | done | purchase | signup … +1 more', count(DISTINCT case_id), count(DISTINCT case_id), 0 FROM log"""
+)
 def deviations(spark, sf_dir):
-    return conformance.deviations(parse_flow("signup? -> (view | click)+ -> purchase?"), tables.log_user_day(spark, sf_dir))
+    return conformance.deviations(parse_flow(OPEN_FLOW), tables.log_user_day(spark, sf_dir))
+
+
+@query(f"{FLOW_CASES} SELECT path, CAST(sum(e) AS BIGINT) AS moves FROM c WHERE e > 0 GROUP BY path")
+def alignment_moves(spark, sf_dir):
+    paths = _day_paths(spark, sf_dir)
+    found = conformance.moves(parse_flow(FLOW), paths).groupBy("path").agg(F.sum("n").alias("moves"))
+    return paths.select(conformance.path_key(F.col("seq")).alias("key"), path_text(F.col("seq")).alias("path")).join(found.withColumnRenamed("path", "key"), "key").drop("key")
 
 
 @query(f"WITH {DAY}, {CASES}, r AS (SELECT n_events, row_number() OVER (ORDER BY n_events) - 1 AS k, count(*) OVER () AS c FROM cases) SELECT n_events AS steps_p95 FROM r WHERE k = round_even(0.95 * (c - 1), 0)")
@@ -466,6 +496,6 @@ def ancestor_inherit(spark, sf_dir):
     return normalize.inherit(c.select(name(F.col("turn")).alias("id"), F.when(F.col("turn") > 0, name(F.col("turn") - 1)).alias("parent_id"), own.alias("session")), "session")
 
 
-@query(f"WITH {ORDER} SELECT event_id, activity FROM log WHERE event_id NOT IN (SELECT parent_id FROM raw WHERE parent_id IS NOT NULL)")
+@query(f"WITH {ORDER} SELECT event_id, activity FROM log WHERE NOT EXISTS (FROM raw AS c WHERE c.parent_id = log.event_id)")
 def flatten_leaves(spark, sf_dir):
-    return normalize.leaves(tables.log_order(spark, sf_dir).withColumnRenamed("event_id", "span_id")).select(F.col("span_id").alias("event_id"), "activity")
+    return normalize.leaves(_order_log(spark, sf_dir).withColumnRenamed("event_id", "span_id")).select(F.col("span_id").alias("event_id"), "activity")

@@ -66,14 +66,10 @@ def findings(m: Model, limit: int = 5) -> list[Finding]:
     tail_cost = tail.agg(money(F.col("cost")).alias("c")).first()["c"]
     fired = applies and tail_cost > 0.1 * total
     if applies and not fired:
-        upto = 0.0
-        for r in mining.pareto(m.variants, min_n=2).orderBy(F.desc("cost_avg"), "example_case").limit(1000).collect():
-            upto += r["case_share"]
-            if upto > 0.25:
-                break
-            if r["cum_cost_share"] >= 0.5:
-                out.append(Finding("concentration", f"{r['cum_cost_share']:.0%} of the cost in {upto:.0%} of the runs", "", 0.0, r["cum_cost_share"]))
-                break
+        half = mining.pareto(m.variants, min_n=2).filter("cum_cost_share >= 0.5").orderBy(F.desc("cost_avg"), "example_case").limit(1).collect()
+        for r in half:
+            if r["cum_case_share"] <= 0.25:
+                out.append(Finding("concentration", f"{r['cum_cost_share']:.0%} of the cost in {r['cum_case_share']:.0%} of the runs", "", 0.0, r["cum_cost_share"]))
     if fired:
         rows = tail.orderBy(F.desc("cost"), "example_case").limit(5).collect()
         out.append(Finding("tail", "Rare paths that cost far more than the median", "", tail_cost, tail_cost / total, [" → ".join(r["seq"][:12]) for r in rows]))
@@ -102,7 +98,7 @@ def findings(m: Model, limit: int = 5) -> list[Finding]:
 def conformance_findings(rep: conformance.Report, limit: int = 3) -> list[Finding]:
     out = []
     if rep.fitness is not None and rep.fitting < rep.n_cases:
-        share = rep.off_model_cost / rep.total_cost if rep.total_cost else 0.0
+        share = rep.off_model_share
         trivial = share < 0.01 and rep.off_model_cost > 0
         out.append(Finding("conformance", f"{rep.n_cases - rep.fitting} of {rep.n_cases} runs leave the declared flow", f"fitness {rep.fitness:.3f}", 0.0 if trivial else rep.off_model_cost, share))
     for rule, s in rep.rules:

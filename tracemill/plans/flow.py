@@ -62,11 +62,11 @@ class Flow:
         return min(self.distances()[0][q] for q in self.accept)
 
     def expected(self, q: int, shown: int = 4) -> str:
-        """What may come after a state: all of its names, or the end."""
-        names = sorted({self.symbols[r] for r in self.follow[q]})
+        """What may come after a state: the first of its names and how many more, or the end."""
+        names = sorted({"any step" if self.symbols[r] == ANY else self.symbols[r] for r in self.follow[q]})
         if not names:
             return "end of process"
-        return " | ".join(names[:shown]) + (f" +{len(names) - shown} more" if len(names) > shown else "")
+        return " | ".join(names[:shown]) + (f" … +{len(names) - shown} more" if len(names) > shown else "")
 
 
 def parse_flow(text: str) -> Flow:

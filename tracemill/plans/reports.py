@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import END, START
 from ..operators import analysis, conformance, mining
+from . import graph
 from .findings import Finding, Model
 
 FLAME_WIDTH, FLAME_LEAST, FLAME_DEPTH, FLAME_COVERAGE = 1000.0, 1.4, 18, 0.15
@@ -50,7 +51,11 @@ def mermaid(edges: list[dict], nodes: dict[str, dict], total: float, off: set[st
         label = a.replace('"', "'")
         share = nodes.get(a, {}).get("cost", 0.0) / total if total else 0.0
         out.append(f'  {name[a]}["{label}"]' + (":::off" if a in off else ":::hot" if share > 0.15 else ":::warm" if share > 0.05 else ""))
+    loops = {e["src"]: graph.loop_label(e) for e in edges if e["src"] == e["dst"]}
     for (a, b), (n, back) in pairs.items():
+        if a == b:
+            out.append(f"  {name[a]} -->|{loops[a]}| {name[a]}")
+            continue
         out.append(f"  {name[a]} <-->|{n} / {back}| {name[b]}" if back else f"  {name[a]} -->|{n}| {name[b]}")
     return "\n".join([*out, "  classDef hot fill:#f96", "  classDef warm fill:#fd9", "  classDef off fill:#f55"])
 
@@ -112,16 +117,19 @@ def html_report(m: Model, found: list[Finding], max_nodes: int = 60, min_edge: f
     least = m.totals["total_cost"] * FLAME_LEAST / FLAME_WIDTH
     tree = mining.prefix_tree(m.variants, FLAME_DEPTH)
     rows = [r.asDict() for r in tree.filter(F.col("cost") >= least).collect()]  # at most 1000 / 1.4 for each depth
-    series = {r["activity"]: k for k, r in enumerate(m.nodes.orderBy(F.desc("n"), "activity").limit(3).collect())}
-    colours, e = ("#2b6cb0", "#b7791f", "#2f855a"), html.escape
+    # The hub is in every run, so the colours go to what differs between them.
+    hub = next((r["activity"] for r in mining.hub(m.edges).collect()), None)
+    often = [r["activity"] for r in m.nodes.orderBy(F.desc("n"), "activity").limit(4).collect() if r["activity"] != hub][:3]
+    colours, e = dict(zip(often, ("#2b6cb0", "#b7791f", "#2f855a"), strict=False)) | ({hub: "#cbd5e0"} if hub else {}), html.escape
     blocks = flame_blocks(rows, m.totals["total_cost"])
     height = 22 * (1 + max((b[0] for b in blocks), default=0))
     svg = [f'<svg viewBox="0 0 {FLAME_WIDTH:.0f} {height}" width="100%">']
     for d, x, w, prefix in blocks:
-        fill = colours[series[prefix[-1]]] if prefix[-1] in series else "#a0aec0"
+        fill = colours.get(prefix[-1], "#a0aec0")
         text = f'<text x="{x + 3:.1f}" y="{22 * d + 15}" font-size="11">{e(prefix[-1][: int(w / 7)])}</text>' if w > 40 else ""
         svg.append(f'<g><title>{e(" → ".join(prefix))}</title><rect x="{x:.1f}" y="{22 * d}" width="{w:.1f}" height="20" fill="{fill}"/>{text}</g>')
-    carry = analysis.context_cost(m.log).orderBy(F.desc("est_usd"), "step").limit(6).collect()
+    carry = analysis.context_cost(m.log).orderBy(F.desc("est_usd"), "step").limit(7).collect()
+    carry = ([c for c in carry if c["step"] != hub] or carry)[:6]
     most = max((c["est_usd"] for c in carry), default=0.0) or 1.0
     bars = "".join(f"<div><span>{e(c['step'])}</span><b style='display:inline-block;background:#2b6cb0;height:10px;width:{300 * c['est_usd'] / most:.0f}px'></b> {usd(c['est_usd'])}</div>" for c in carry)
     top = mining.top_variants(m.variants, 15).collect()
@@ -132,7 +140,7 @@ def html_report(m: Model, found: list[Finding], max_nodes: int = 60, min_edge: f
             "<!doctype html><meta charset='utf-8'><title>Process report</title><style>body{font:14px sans-serif;max-width:1100px;margin:2em auto}td{padding:2px 10px}.tile{display:inline-block;margin:8px 24px 8px 0}</style>",
             "<h1>Process report</h1>", "".join(f"<div class='tile'><small>{e(a)}</small><br><b>{e(b)}</b></div>" for a, b in _summary(m)),
             "<h2>Findings</h2>", "".join(f"<p><b>{e(f.title)}</b> {usd(f.impact_usd)} {e(f.detail)}<br><small>{e('; '.join(f.evidence))}</small></p>" for f in found),
-            "<h2>Where runs go</h2>", *svg, "</svg>", "<h2>Context carried on</h2>", bars, "<h2>Transitions</h2><table>", *(row(x["src"], x["dst"], x["n"]) for x in edges if x["src"] != START and x["dst"] != END), "</table>",
+            "<h2>Where runs go</h2>", *svg, "</svg>", "<h2>Context carried on</h2>", bars, "<h2>Process</h2>", graph.svg(edges, nodes, m.totals["total_cost"], hub, colours), "<h2>Transitions</h2><table>", *(row(x["src"], x["dst"], x["n"]) for x in edges if x["src"] != START and x["dst"] != END), "</table>",
             "<h2>Dearest paths</h2><table>", *(row(" → ".join(v["seq"][:12]), v["n"], usd(v["cost"])) for v in top), "</table>",
             "<h2>Resources</h2><table>", *(row(r["resource"], r["n"], usd(r["cost"])) for r in res), "</table>",
         ]

@@ -21,12 +21,20 @@ SCHEMA = (
 
 
 def read(spark: SparkSession, path: str) -> DataFrame:
-    """Raw spans on a clock that ticks once a step: each assistant message, then its tools."""
-    docs = json_text.documents(spark, path, SCHEMA).select("file", "nr", "doc.*")
+    """Raw spans of the files below ``path``."""
+    return spans(json_text.documents(spark, path, SCHEMA))
+
+
+def spans(docs: DataFrame) -> DataFrame:
+    """Raw spans on a clock that ticks once a step: each assistant message, then its tools.
+
+    A session without an id is called by its number in its file.
+    """
+    places, docs = docs, docs.select("file", "block", "nr", "doc.*")
     resolved = F.coalesce(F.from_json("ground_truth_meta_json", "resolved boolean")["resolved"], F.col("resolved"))
     s = docs.select(
-        "file", "nr",
-        F.coalesce(present(F.col("session_id")), present(F.col("id")), present(F.col("instance_id")), F.col("nr").cast("string")).alias("case"),
+        "file", "block", "nr",
+        F.coalesce(present(F.col("session_id")), present(F.col("id")), present(F.col("instance_id"))).alias("case"),
         F.coalesce(present(F.col("recorded_model")), F.col("model")).alias("model"),
         F.coalesce(present(F.col("agent_framework")), F.lit("agent")).alias("agent"),
         F.coalesce(present(F.col("source_dataset")), F.lit("messages")).alias("service"),
@@ -36,7 +44,12 @@ def read(spark: SparkSession, path: str) -> DataFrame:
     calls = F.coalesce(F.from_json("msg.tool_calls_json", _CALLS), F.col("msg.tool_calls"), F.array().cast(_CALLS))
     names = F.filter(F.transform(calls, lambda c: F.coalesce(present(c["function"]["name"]), present(c["name"]))), lambda n: n.isNotNull())
     steps = s.select("*", F.posexplode(F.concat(F.array(F.lit("chat")), names)).alias("j", "name"))
-    w = Window.partitionBy("file", "nr").orderBy("m", "j")
+    # Only sessions without an id need their number; these rows hold names, no texts.
+    nameless = json_text.numbered(places).withColumnsRenamed({"file": "_file", "block": "_block", "nr": "_nr"})
+    at = (F.col("file") == F.col("_file")) & (F.col("block") == F.col("_block")) & (F.col("nr") == F.col("_nr"))
+    found = steps.filter("case IS NULL").join(nameless, at).withColumn("case", F.col("i").cast("string")).select(steps.columns)
+    steps = steps.filter("case IS NOT NULL").unionByName(found)
+    w = Window.partitionBy("file", "block", "nr").orderBy("m", "j")
     steps = steps.withColumn("clock", (F.row_number().over(w) - 1).cast("long"))
     own = F.concat_ws("#", "case", F.max(F.when(F.col("j") == 0, F.col("clock"))).over(w.rowsBetween(Window.unboundedPreceding, 0)).cast("string"))
     steps = steps.withColumn("chat_id", own)

@@ -28,13 +28,22 @@ def records(spark: SparkSession, path: str) -> DataFrame:
     """``file, line`` and the fields of every record that can be read."""
     whole = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.jsonl").text(path, wholetext=True)
     lines = whole.select(F.input_file_name().alias("file"), F.posexplode(F.split("value", "\n")).alias("line", "value")).filter(F.trim("value") != "")
-    # A record that is cut off parses in part; only whole ones count.
+    return parsed(lines)
+
+
+def parsed(lines: DataFrame) -> DataFrame:
+    """The records of ``file, line, value``; one that is cut off parses in part, and only whole ones count."""
     return lines.filter(F.try_parse_json("value").isNotNull()).select("file", "line", F.from_json("value", SCHEMA).alias("r")).filter("r IS NOT NULL").select("file", "line", "r.*")
 
 
 def read(spark: SparkSession, path: str) -> DataFrame:
+    """Raw spans of the files below ``path``."""
+    return spans(records(spark, path))
+
+
+def spans(found: DataFrame) -> DataFrame:
     """Raw spans: a turn for each run of records of one request, and the tool calls in it."""
-    r = records(spark, path).withColumn("ts", json_text.seconds(F.col("timestamp"))).withColumn("blocks", F.from_json("message.content", _BLOCKS))
+    r = found.withColumn("ts", json_text.seconds(F.col("timestamp"))).withColumn("blocks", F.from_json("message.content", _BLOCKS))
     w = Window.partitionBy("file").orderBy("line")
     so_far = w.rowsBetween(Window.unboundedPreceding, -1)
     is_turn = (F.col("type") == "assistant") & F.col("ts").isNotNull()

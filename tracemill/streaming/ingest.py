@@ -3,24 +3,21 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from ..operators import normalize
-from ..sources import detect
+from ..sources import json_text, otlp
 
 
 def follow(spark: SparkSession, source: str, log: str, checkpoint: str, prices: DataFrame, case: str = "trace"):
-    """Appends the events of every new ``.jsonl`` file below ``source`` to ``log``.
+    """Appends the events of every new file of lines below ``source`` to ``log``.
 
-    Each batch lists its new files and runs the same reader and normaliser as a batch ingest; case notions that
-    look across files (session, task) see the files of one batch.
+    The lines of a batch are the rows that the batch readers parse and normalise; case notions that
+    look across files (session, task) see the lines of one batch.
     """
-    files = spark.readStream.format("text").option("wholetext", "true").option("pathGlobFilter", "*.jsonl").load(source).select(F.input_file_name().alias("file")).distinct()
+    lines = spark.readStream.format("text").option("pathGlobFilter", json_text.LINES).load(source)
 
     def add(batch: DataFrame, epoch: int) -> None:
-        for row in batch.distinct().collect():  # file names only
-            adapter = detect.pick(batch.sparkSession, row["file"])
-            events = normalize.normalize(adapter.read(batch.sparkSession, row["file"]), prices, case=case)
-            events.write.mode("append").parquet(log)
+        spans = otlp.spans(json_text.parsed_lines(batch, otlp.SCHEMA))
+        normalize.normalize(spans, prices, case=case).write.mode("append").parquet(log)
 
-    return files.writeStream.outputMode("update").foreachBatch(add).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    return lines.writeStream.outputMode("append").foreachBatch(add).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
