@@ -104,7 +104,7 @@ def shingles(text, width):
 
 def linked(rows, width, percent):
     sets = [shingles(t, width) for _, t in rows]
-    root = list(range(len(rows)))
+    root, links = list(range(len(rows))), [0] * len(rows)
 
     def find(x):
         while root[x] != x:
@@ -117,11 +117,13 @@ def linked(rows, width, percent):
             if k and 100 * k >= percent * (len(sets[i]) + len(sets[j]) - k):
                 a, b = find(i), find(j)
                 root[max(a, b)] = min(a, b)
+                links[i] += 1
+                links[j] += 1
     least = {}
     for i, (d, _) in enumerate(rows):
         if d is not None:
             least[find(i)] = min(d, least.get(find(i), d))
-    return sorted(((d, len(sets[i]), least.get(find(i)) if sets[i] else d) for i, (d, _) in enumerate(rows)), key=str)
+    return sorted(((d, len(sets[i]), least.get(find(i)) if sets[i] else d, links[i]) for i, (d, _) in enumerate(rows)), key=str)
 
 
 @pytest.mark.parametrize("width, percent, block", [(4, 85, 2000), (5, 80, 2000), (4, 85, 25)])
@@ -129,6 +131,9 @@ def test_similarity_join(spark, width, percent, block):
     rng = random.Random(14)
     rows = [r[:2] for r in odd_rows() if r[0] != 5]
     base = prose(rng, 150).split()
+    rows += [(None, " ".join([*base[:149], f"near{k % 3}"])) for k in range(5)]  # null ids that link with others, some twice
+    bridge = prose(rng, 200).split()  # two documents that only a row without an id joins
+    rows += [(3500, " ".join(bridge)), (None, " ".join([*bridge[:197], "x", "y", "z"])), (3501, " ".join(["p", "q", "r", "s", "t", *bridge[5:195], "u", "v", "x", "y", "z"]))]
     for k in range(140):  # more near copies than make a token frequent
         w = list(base)
         for _ in range(rng.randint(0, 4)):
@@ -141,7 +146,7 @@ def test_similarity_join(spark, width, percent, block):
     passage = prose(rng, 40)
     rows += [(3000 + k, prose(rng, 100) + " " + passage) for k in range(80)]
     got = ngram_join.similarity_join(documents(spark, rows).repartition(5), width=width, percent=percent, block=block).collect()
-    assert sorted(((r["doc_id"], r["n_shingles"], r["component_id"]) for r in got), key=str) == linked(rows, width, percent)
+    assert sorted(map(tuple, got), key=str) == linked(rows, width, percent)
 
 
 def test_similarity_join_full_table(spark, monkeypatch):
@@ -163,7 +168,59 @@ def test_similarity_join_full_table(spark, monkeypatch):
 
 def test_similarity_join_empty(spark):
     assert ngram_join.similarity_join(documents(spark, [(1, "x")]).limit(0)).count() == 0
-    assert [tuple(r) for r in ngram_join.similarity_join(documents(spark, [(1, None)])).collect()] == [(1, 0, 1)]
+    assert [tuple(r) for r in ngram_join.similarity_join(documents(spark, [(1, None)])).collect()] == [(1, 0, 1, 0)]
+    with pytest.raises(ValueError):
+        ngram_join.similarity_join(documents(spark, [(1, "x")]), percent=0)
+
+
+@pytest.mark.parametrize("percent", [10, 30, 55])
+def test_similarity_join_at_low_thresholds(spark, percent, monkeypatch):
+    monkeypatch.setattr(ngram_join, "FREQUENT", 4)
+    rng = random.Random(21)
+    words = [f"w{k}" for k in range(25)]
+    rows = [(k, " ".join(rng.choice(words) for _ in range(rng.randint(1, 9)))) for k in range(90)]
+    got = ngram_join.similarity_join(documents(spark, rows), width=1, percent=percent).collect()
+    assert sorted(map(tuple, got), key=str) == linked(rows, 1, percent)
+    pair = [(1, "a b c d e f"), (2, "f g h i j k")]
+    assert [r["n_links"] for r in ngram_join.similarity_join(documents(spark, pair), width=1, percent=9).collect()] == [1, 1]
+
+
+def test_similarity_join_long_texts(spark):
+    """A group of long near copies: all shingles are frequent, yet the combinations stay about as many as they are."""
+    rng = random.Random(22)
+    base = prose(rng, 20_000).split()
+    rows = []
+    for k in range(70):
+        w = list(base)
+        for _ in range(60 * (k % 3)):
+            w[rng.randrange(len(w))] = f"edit{rng.randint(0, 99)}"
+        rows.append((k, " ".join(w[k * 4 :])))
+    got = ngram_join.similarity_join(documents(spark, rows), block_shingles=300_000).collect()
+    assert sorted(map(tuple, got), key=str) == linked(rows, 4, 85)
+    top = np.sort(np.random.default_rng(1).integers(0, 1 << 63, ngram_join._prefix(20_000, 85)).astype(np.uint64))
+    assert len(ngram_join.combinations(top, 20_000, 85)) < 40_000
+
+
+def test_combinations_of_linked_texts_meet():
+    rng = np.random.default_rng(3)
+    for percent in (10, 50, 85, 100):
+        for n in (1, 2, 3, 10, 49, 50, 99, 100, 350, 351, 1200):
+            m = int(rng.integers(-(-n * percent // 100), n + 1))  # a partner's size
+            k = ngram_join._shared(m, percent)
+            tokens = rng.integers(0, 1 << 63, 3 * n + 3).astype(np.uint64)
+            both = tokens[:k]
+            a = np.concatenate([both, tokens[k : k + max(0, ngram_join._prefix(n, percent) - k)]])
+            b = np.concatenate([both, tokens[2 * n : 2 * n + max(0, ngram_join._prefix(m, percent) - k)]])
+            assert set(ngram_join.combinations(a, n, percent).tolist()) & set(ngram_join.combinations(b, m, percent).tolist()), (percent, n, m)
+
+
+def test_join_spread(spark):
+    from tracemill.llm import common
+
+    rows = spark.range(20_000).select(F.when(F.col("id") < 9000, 1).otherwise(F.col("id")).alias("g"), "id")
+    table = rows.groupBy("g").agg(F.count("*").alias("k"))
+    got = common.join_spread(rows, table, "g", F.col("id"))
+    assert got.select("g", "id").exceptAll(rows).count() == 0 and got.count() == 20_000 and got.columns == ["g", "id", "k"]
 
 
 def test_components(spark):
@@ -352,8 +409,7 @@ def test_registered_queries_against_brute_force(spark):
     rows = [tuple(r) for r in spark.read.parquet(f"{SMALL}/documents.parquet").select("doc_id", "text").collect()]
     got = sorted(map(tuple, queries.op4_suffix_dedup(spark, SMALL).collect()))
     assert got == sorted((d, *x) for (d, _), x in zip(rows, removed([t for _, t in rows]), strict=True))
-    joined = [(r["doc_id"], r["n_shingles"], r["component_id"]) for r in queries.op8_ngram_join(spark, SMALL).collect()]
-    assert sorted(joined, key=str) == linked(rows, 4, 85)
+    assert sorted(map(tuple, queries.op8_ngram_join(spark, SMALL).collect()), key=str) == linked(rows, 4, 85)
     items = [tuple(r) for r in spark.read.parquet(f"{SMALL}/benchmark.parquet").select("item_id", "text").collect()]
     found = {(r["doc_id"], r["item_id"]) for r in queries.op3_decontaminate(spark, SMALL).collect()}
     assert {(d, i) for d, t in rows for i, x in items if normal(x) in normal(t)} <= found

@@ -9,18 +9,20 @@ threshold. Steps, none of which enumerates the pairs of a group:
    size come of it: the most frequent codes, and a bitmap of codes seen twice.
 3. Shingles are ordered rare first. Texts that link share at least k tokens in
    prefixes extended by k - 1; k grows from two with the length. Rare tokens are indexed singly, frequent ones by
-   combinations of two; codes seen once can link nothing and are left out.
+   combinations of two; codes seen once can link nothing and are left out. The frequent tokens of a prefix are
+   dealt by hash to fewer than k classes, so that two shared ones fall into one class: only pairs within a class are
+   combined, and a text has about as many combinations as shingles, however long it is.
    Any order of the tokens gives complete candidates; the counts only make them few.
-4. Candidates form groups; each group's sets meet in a task, where a search over
-   the texts not yet reached verifies links and ends with the components. A group
-   above ``block`` texts is verified in pairs of blocks.
+4. Candidates form groups; each group's sets meet in a task, where all pairs of them are verified. A group
+   above ``block`` texts or ``block_shingles`` shingles is verified in pairs of blocks.
 
 Defined results: a null or empty text, or one without words, has an empty set and
 links with nothing; a text shorter than a shingle is one shingle of its
 words; rows of one id are one document if their texts have equal sets and
-are otherwise told apart by the sets; a null id never becomes a component's id
-unless the component has no other; an empty table gives no rows; other columns
-are ignored.
+are otherwise told apart by the sets; a row with a null id has its links like any other, but
+a null id never becomes a component's id unless the component has no other; an empty table
+gives no rows; other columns are ignored. Links are counted between rows, so copies of a
+text count each other.
 """
 
 from __future__ import annotations
@@ -41,8 +43,6 @@ FREQUENT = 64
 MAX_FREQUENT = 1 << 20
 #: Bits of the bitmap of codes seen twice.
 BITMAP_BITS = 27
-#: Tasks over which the rows of one class are dealt.
-SALTS = 8
 #: Key ranges of the counter.
 RANGES = 128
 
@@ -68,22 +68,52 @@ def _each(batches, width: int):
 EXTEND_EACH = 50
 
 
+def _shared(n: int, percent: int) -> int:
+    """Tokens that linked texts, the smaller one of ``n`` shingles, have in both prefixes at least."""
+    return min(2 + n // EXTEND_EACH, -(-n * percent // 100))
+
+
 def _prefix(n: int, percent: int) -> int:
     """Tokens of the extended prefix."""
-    return min(n, n - -(-n * percent // 100) + 2 + n // EXTEND_EACH)
+    return min(n, n - -(-n * percent // 100) + _shared(n, percent))
+
+
+def combinations(top: np.ndarray, n: int, percent: int) -> np.ndarray:
+    """Index keys of the frequent tokens in the prefix of a text of ``n`` shingles.
+
+    A partner shares k of them at least, where k is that of the smallest text it can link with. Dealt to a power of two
+    of classes under k, two of them fall together; the classes of a longer text divide those of a shorter one,
+    so that both texts combine the two. Where k may be one, single tokens are keys as well.
+    """
+    k = _shared(-(-n * percent // 100), percent)
+    keys = [textcodes.mix(top + np.uint64(0x5851F42D4C957F2D))] if k < 2 else []
+    if _shared(n, percent) > 1 and len(top) > 1:
+        classes = 1 << (max(k - 1, 1).bit_length() - 1)
+        of = (textcodes.mix(top) & np.uint64(classes - 1)).astype(np.int64)
+        order = np.lexsort((top, of))
+        top, of = top[order], of[order]
+        # Each token with those before it in its class, by distance.
+        place = np.arange(len(top)) - np.searchsorted(of, of)
+        for d in range(1, int(place.max()) + 1):
+            j = np.flatnonzero(place >= d)
+            keys.append(textcodes.mix(top[j - d] * np.uint64(3) + textcodes.mix(top[j])))
+    return np.concatenate(keys) if keys else top[:0]
+
+
+#: Two hashes that, beside the id, name the text of a row.
+KEY = "k1 long, k2 long"
 
 
 def class_rows(docs: DataFrame, width: int) -> DataFrame:
-    """``doc_id, n_shingles, cls`` for every row; ``cls`` is null for an empty set."""
+    """``doc_id, k1, k2, n_shingles, cls`` for every row; ``cls`` is null for an empty set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, first, last, sets in _each(batches, width):
             cls = [d if len(s) else None for d, s in zip(_digests(sets), sets, strict=True)]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id").slice(first, last - first).cast(pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array(cls, pa.binary())], ["doc_id", "n_shingles", "cls"]
-            )
+            own = [batch.column(c).slice(first, last - first).cast(pa.int64()) for c in ("doc_id", "k1", "k2")]
+            yield pa.RecordBatch.from_arrays([*own, pa.array([len(s) for s in sets], pa.int64()), pa.array(cls, pa.binary())], ["doc_id", "k1", "k2", "n_shingles", "cls"])
 
-    return docs.mapInArrow(run, "doc_id long, n_shingles long, cls binary")
+    return docs.mapInArrow(run, f"doc_id long, {KEY}, n_shingles long, cls binary")
 
 
 def _pack(codes: np.ndarray) -> bytes:
@@ -178,11 +208,7 @@ def prefix_rows(docs: DataFrame, width: int, percent: int, codes: np.ndarray, co
                     top = s[f[np.argsort(counts[at[f]], kind="stable")[: p - len(rare)]]]
                 slot = (rare >> np.uint64(64 - BITMAP_BITS)).astype(np.int64)
                 rare = rare[(bitmap[slot >> 3] >> (7 - (slot & 7)).astype(np.uint8)) & 1 == 1]
-                combos = top[:0]
-                if len(top) > 1:
-                    top = np.sort(top)
-                    i, j = np.triu_indices(len(top), 1)
-                    combos = textcodes.mix(top[i] * np.uint64(3) + textcodes.mix(top[j]))
+                combos = combinations(top, len(s), percent)
                 if len(rare) or len(combos):
                     out.append((d, len(s), rare.view(np.int64), combos.view(np.int64), len(top) > 0))
             if len(seen) > 100_000:
@@ -203,6 +229,7 @@ def candidate_edges(prefixes: DataFrame, percent: int) -> DataFrame:
     """Edges between classes that may link; for frequent combinations and tokens, from each class to the least that has it."""
     one = prefixes.groupBy("cls").agg(F.first("n").alias("n"), F.first("rare").alias("rare"), F.first("combos").alias("combos"), F.first("has_frequent").alias("has_frequent"))
     one = common.staged(one, "prefixes")
+    # A token outside the table of frequent codes has fewer rows than each of the thousands that its range holds.
     of_token = Window.partitionBy("token")
     rare = one.select("cls", "n", "has_frequent", F.explode("rare").alias("token"))
     rare = rare.withColumns({"k": F.count("*").over(of_token), "least": F.min("cls").over(of_token)}).filter("k > 1")
@@ -216,84 +243,93 @@ def candidate_edges(prefixes: DataFrame, percent: int) -> DataFrame:
         F.count("*").alias("shared"), F.first(F.col("fa") & F.col("fb")).alias("more"), F.first(F.least("na", "nb")).alias("n")
     )
     # As many tokens are shared as the shorter prefix is extended to share; some may be frequent ones.
-    pairs = pairs.filter((F.col("shared") >= 2 + F.floor(F.col("n") / EXTEND_EACH)) | F.col("more")).select("a", "b")
+    enough = F.least(2 + F.floor(F.col("n") / EXTEND_EACH), F.ceil(F.col("n") * percent / 100))
+    pairs = pairs.filter((F.col("shared") >= enough) | F.col("more")).select("a", "b")
     combos = one.select("cls", F.explode("combos").alias("combo"))
-    least = combos.groupBy("combo").agg(F.min("cls").alias("b"), F.count("*").alias("k")).filter("k > 1")
-    stars = combos.join(least, "combo").select(F.col("cls").alias("a"), "b").filter("a <> b")
+    least = common.staged(combos.groupBy("combo").agg(F.min("cls").alias("b"), F.count("*").alias("k")).filter("k > 1"), "combos")
+    stars = common.join_spread(combos, least, "combo", F.col("cls")).select(F.col("cls").alias("a"), "b").filter("a <> b")
     return pairs.unionByName(stars).unionByName(wide).distinct()
 
 
-def link_components(sets: list[np.ndarray], percent: int) -> np.ndarray:
-    """For each set the first member of its component, by a search that compares with those not yet reached."""
+def verified_links(sets: list[np.ndarray], percent: int, weights: np.ndarray, first: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """For each set the first member of its component, and the summed weights of the sets that it links with.
+
+    With ``first`` (booleans) only pairs of a first and another set are compared.
+    """
     n = len(sets)
     sizes = np.array([len(s) for s in sets])
-    _, ids = np.unique(np.concatenate(sets), return_inverse=True)
+    order = np.arange(n) if first is None else np.argsort(~first, kind="stable")
+    sizes, own = sizes[order], [sets[k] for k in order]
+    _, ids = np.unique(np.concatenate(own), return_inverse=True)
     cuts = np.concatenate([[0], np.cumsum(sizes)])
-    root, mark = np.full(n, -1), np.zeros(ids.max() + 1, bool)
-    left = np.arange(n)
-    left_ids, left_cuts = ids, cuts[:-1]
-    queue: list[int] = []
-    while len(left):
-        if not queue:
-            first, left = int(left[0]), left[1:]
-            root[first] = first
-            queue.append(first)
-            left_ids = left_ids[sizes[first] :]
-            left_cuts = left_cuts[1:] - sizes[first]
-            continue
-        x = queue.pop()
-        own = ids[cuts[x] : cuts[x + 1]]
-        mark[own] = True
-        common_ = np.add.reduceat(mark[left_ids].astype(np.int64), left_cuts)
-        mark[own] = False
-        hit = 100 * common_ >= percent * (sizes[left] + sizes[x] - common_)
-        if hit.any():
-            new = left[hit]
-            root[new] = root[x]
-            queue.extend(new.tolist())
-            keep = np.repeat(~hit, sizes[left])
-            left, left_ids = left[~hit], left_ids[keep]
-            left_cuts = np.concatenate([[0], np.cumsum(sizes[left])])[:-1]
-    return root
-
-
-def similarity_join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = 4, percent: int = 85, block: int = 2000) -> DataFrame:
-    """``doc_id, n_shingles, component_id`` for every row of ``docs``."""
-    docs = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
+    root, mark, total = np.arange(n), np.zeros(ids.max() + 1, bool), np.zeros(n, np.int64)
+    weight = weights[order]
+    n_first = n if first is None else int(first.sum())
+    for x in range(n_first):
+        lo = x + 1 if first is None else n_first
+        if lo == n:
+            break
+        mine = ids[cuts[x] : cuts[x + 1]]
+        mark[mine] = True
+        both = np.add.reduceat(mark[ids[cuts[lo] :]].astype(np.int32), cuts[lo:n] - cuts[lo])
+        mark[mine] = False
+        hit = lo + np.flatnonzero(100 * both.astype(np.int64) >= percent * (sizes[lo:] + sizes[x] - both))
+        if len(hit):
+            total[x] += weight[hit].sum()
+            total[hit] += weight[x]
+            met = np.zeros(n, bool)
+            met[root[hit]] = met[root[x]] = True
+            root[met[root]] = np.flatnonzero(met)[0]
+    out_root, out_total = np.empty(n, np.int64), np.empty(n, np.int64)
+    out_root[order], out_total[order] = order[root], total
+    return out_root, out_total
+
+
+def similarity_join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = 4, percent: int = 85, block: int = 2000, block_shingles: int = 1 << 22) -> DataFrame:
+    """``doc_id, n_shingles, component_id, n_links`` for every row of ``docs``."""
+    if not 0 < percent <= 100:
+        raise ValueError("the similarity is a percentage from 1 to 100")
+    body = F.coalesce(F.col(text), F.lit(""))
+    docs = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"), F.xxhash64(body).alias("k1"), F.xxhash64(F.lit(1), body).alias("k2"))
     rows = common.staged(class_rows(docs, width), "classes")
-    codes, counts, bitmap = count_codes(docs, width)
-    edges = candidate_edges(prefix_rows(docs, width, percent, codes, counts, bitmap), percent)
+    codes, counts, bitmap = count_codes(docs.select("text"), width)
+    edges = candidate_edges(prefix_rows(docs.select("text"), width, percent, codes, counts, bitmap), percent)
     groups = graph.components(edges)
 
-    # Each class of a group is represented by one of its rows; a large group is dealt over pairs of blocks.
-    sized = groups.join(groups.groupBy("root").agg(F.count("*").alias("k")), "root")
-    blocks = F.ceil(F.col("k") / block).cast("int")
-    sized = sized.select(F.col("node").alias("cls"), "root", blocks.alias("nb"), F.pmod(F.xxhash64("node"), blocks).cast("int").alias("own"))
-    one = rows.filter("cls is not null").groupBy("cls").agg(F.min("doc_id").alias("doc_id"))
-    members = one.join(sized, "cls")
-    texts = docs.join(members, "doc_id").select("cls", "root", "nb", "own", "text")
+    # Each class is represented by one of its rows; a large group is dealt over pairs of blocks.
+    classes = rows.filter("cls is not null").groupBy("cls").agg(F.min(F.struct("doc_id", "k1", "k2")).alias("row"), F.count("*").alias("k"), F.min("doc_id").alias("least"), F.first("n_shingles").alias("n"))
+    classes = common.staged(classes, "sizes")
+    members = groups.withColumnRenamed("node", "cls").join(classes.select("cls", "row", "k", "n"), "cls")
+    sums = members.groupBy("root").agg(F.greatest(F.ceil(F.count("*") / block), F.ceil(F.sum("n") / block_shingles)).cast("int").alias("nb"))
+    members = members.join(sums, "root").select("cls", "root", "nb", F.pmod(F.xxhash64("cls"), "nb").cast("int").alias("own"), F.col("k").alias("copies"), "row.*")
+    at = F.col("d.doc_id").eqNullSafe(F.col("m.doc_id")) & (F.col("d.k1") == F.col("m.k1")) & (F.col("d.k2") == F.col("m.k2"))
+    texts = docs.alias("d").join(members.alias("m"), at).select("cls", "root", "nb", "own", "copies", "d.text")
+    # Repeated rows have one id and text.
+    texts = texts.groupBy("cls").agg(*[F.first(c).alias(c) for c in ("root", "nb", "own", "copies", "text")])
     dealt = texts.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)))
-    dealt = dealt.select("root", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "cls", "text")
+    dealt = dealt.select("root", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "cls", "copies", "text")
 
     def verify(t: pa.Table) -> pa.Table:
-        sets: dict[bytes, np.ndarray] = {}
+        sets: list[np.ndarray] = []
         for first, last, data, offsets in textcodes.pieces(t.column("text")):
-            found = textcodes.shingle_sets(data, offsets, width)
-            sets.update((d, s) for d, s in zip(_digests(found), found, strict=True) if len(s))
-        wanted = sorted(set(t.column("cls").to_pylist()) & set(sets))
-        if not wanted:
-            return pa.table({"a": pa.array([], pa.binary()), "b": pa.array([], pa.binary())})
-        root = link_components([sets[c] for c in wanted], percent)
-        return pa.table({"a": pa.array(wanted, pa.binary()), "b": pa.array([wanted[r] for r in root], pa.binary())})
-
-    links = common.staged(dealt.groupBy("root", "i", "j").applyInArrow(verify, "a binary, b binary").filter("a <> b"), "links")
-    roots = graph.components(links).select(F.col("node").alias("cls"), "root")
-
-    # Ids are found by class, and dealt to the rows over several tasks for a class with many copies.
-    sizes = common.staged(rows.filter("cls is not null").groupBy("cls").agg(F.min("doc_id").alias("least"), F.count("*").alias("k")), "sizes")
-    linked = common.staged(sizes.join(roots, "cls", "left"), "linked")
+            sets += textcodes.shingle_sets(data, offsets, width)
+        own, i, j = (t.column(c).to_numpy() for c in ("own", "i", "j"))
+        first = None if i[0] == j[0] else own == i[0]
+        none = pa.table({"a": pa.array([], pa.binary()), "b": pa.array([], pa.binary()), "n": pa.array([], pa.int64())})
+        if len(sets) < 2 or first is not None and (first.all() or not first.any()):
+            return none
+        root, n = verified_links(sets, percent, t.column("copies").to_numpy(), first)
+        cls, some = t.column("cls").combine_chunks(), np.flatnonzero(n > 0)
+        return pa.table({"a": cls.take(pa.array(some)), "b": cls.take(pa.array(root[some])), "n": pa.array(n[some])})
+
+    found = common.staged(dealt.groupBy("root", "i", "j").applyInArrow(verify, "a binary, b binary, n long"), "links")
+    roots = graph.components(found.filter("a <> b").select("a", "b")).select(F.col("node").alias("cls"), "root")
+    links = found.groupBy(F.col("a").alias("cls")).agg(F.sum("n").alias("n_links"))
+
+    # Ids and links are found by class, and dealt to the rows over several tasks for a class with many copies.
+    linked = common.staged(classes.join(roots, "cls", "left").join(links, "cls", "left"), "linked")
     ids = linked.filter("root is not null").groupBy("root").agg(F.min("least").alias("component_id"))
-    known = linked.filter("root is not null OR k > 1").join(ids, "root", "left").select("cls", F.coalesce("component_id", "least").alias("component_id"))
-    known = known.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    salted = rows.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int"))
-    return salted.join(known, ["cls", "salt"], "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+    known = linked.join(ids, "root", "left").select("cls", "k", F.coalesce("component_id", "least").alias("component_id"), (F.coalesce("n_links", F.lit(0)) + F.col("k") - 1).alias("n_links"))
+    known = common.staged(known, "known")
+    full = common.join_spread(rows.filter("cls IS NOT NULL"), known, "cls", F.struct("doc_id", "k1")).select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"), "n_links")
+    return full.unionByName(rows.filter("cls IS NULL").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"), F.lit(0).cast("long").alias("n_links")))

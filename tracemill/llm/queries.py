@@ -210,8 +210,8 @@ p AS (
   SELECT a, b FROM p JOIN n AS x ON x.doc_id = a JOIN n AS y ON y.doc_id = b WHERE 100 * k >= 85 * (x.n + y.n - k)
 ), e AS (SELECT a, b FROM l UNION SELECT b, a FROM l),
 c AS (SELECT doc_id AS x, doc_id AS y FROM n UNION SELECT c.x, e.b FROM c JOIN e ON e.a = c.y)
-SELECT w.doc_id, coalesce(n.n, 0) AS n_shingles, coalesce(r.m, w.doc_id) AS component_id
-FROM w LEFT JOIN n USING (doc_id) LEFT JOIN (SELECT x, min(y) AS m FROM c GROUP BY x) AS r ON r.x = w.doc_id
+SELECT w.doc_id, coalesce(n.n, 0) AS n_shingles, coalesce(r.m, w.doc_id) AS component_id, coalesce(d.k, 0) AS n_links
+FROM w LEFT JOIN n USING (doc_id) LEFT JOIN (SELECT a, count(*) AS k FROM e GROUP BY a) AS d ON d.a = w.doc_id LEFT JOIN (SELECT x, min(y) AS m FROM c GROUP BY x) AS r ON r.x = w.doc_id
 """
 
 
