@@ -214,3 +214,36 @@ def test_ledger(spark):
     assert len(pairs) == len(set(pairs)) == 3 + len(secrets.RULES)
     assert {r["path"]: len(r["spans"]) for r in found.filter("version = 1").collect()} == {"a": 1, "b": 1, "c": 1}
     assert hashlib.sha256(b"").hexdigest() in {r["blob_id"] for r in found.collect()} and json.dumps(rows)
+
+
+def test_groups_of_equal_texts_share_a_shard(spark):
+    """Groups of up to a tenth of a shard's share are whole, larger ones are split, and sizes stay within that of each other."""
+    rng = random.Random(9)
+    rows = [(k, prose(rng, rng.randint(1, 60))) for k in range(1500)]
+    rows += [(2000 + 10 * g + k, f"group {g} " + "x" * 60) for g in range(120) for k in range(rng.randint(2, 6))] + [(9000 + k, "many copies") for k in range(900)] + [(7, "one id") for _ in range(50)]
+    got = sharding.shard(documents(spark, rows).repartition(4), shards=40, ranges=64).collect()
+    size = lambda t: len(t.encode()) + 16
+    share, of = sum(size(t) for _, t in rows) / 40, {}
+    for r in got:
+        of.setdefault(r["text_crc32"], []).append(r)
+    for t in {t for _, t in rows}:
+        found = of[zlib.crc32(t.encode())]
+        if sum(r["size"] for r in found) <= 0.1 * share:
+            assert len({r["shard"] for r in found}) == 1
+    sums = [sum(r["size"] for r in got if r["shard"] == s) for s in range(40)]
+    assert all(abs(x - share) <= 0.1 * share + 2 * max(size(t) for _, t in rows) for x in sums) and len({r["shard"] for r in of[zlib.crc32(b"many copies")]}) > 1
+    for s in range(40):
+        assert sorted(r["slot"] for r in got if r["shard"] == s) == list(range(sum(r["shard"] == s for r in got)))
+
+
+def test_ledger_of_two_runs(spark):
+    """A run with more rules scans only the pairs that the ledger lacks; both together find what one run finds."""
+    rng = random.Random(10)
+    texts = secret_texts(rng) + ["-----BEGIN PRIVATE KEY-----\nabc=\n-----END PRIVATE KEY----- token=abcdefgh"] * 40
+    versions = spark.createDataFrame([(k, 1, t) for k, t in enumerate(texts)], "path long, version int, text string")
+    blobs = secrets.blob_store(versions)
+    first = secrets.unseen(blobs, None, secrets.RULES[:3])
+    found, new = secrets.scan(versions, first, secrets.RULES, blobs)
+    assert {r["kind"] for r in first.select("kind").distinct().collect()} == {"assign", "access", "hex"} and {r["kind"] for r in new.select("kind").distinct().collect()} == {"pem", "jwt"}
+    whole = {r["path"]: r["spans"] for r in secrets.scan(versions)[0].collect()}
+    assert {r["path"]: r["spans"] for r in found.collect()} == whole and any(s["kind"] == "pem" for x in whole.values() for s in x)

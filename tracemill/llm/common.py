@@ -55,8 +55,8 @@ def staged(df: DataFrame, name: str) -> DataFrame:
 HOT_PARTS = 1024
 
 
-def join_spread(rows: DataFrame, table: DataFrame, key: str, by: Column) -> DataFrame:
-    """Inner join of ``rows`` with ``table``, which has one row for a key and counts the key's rows in ``k``.
+def join_spread(rows: DataFrame, table: DataFrame, key: str, by: Column, how: str = "inner") -> DataFrame:
+    """Inner or left join of ``rows`` with ``table``, which has one row for a key and counts the key's rows in ``k``.
 
     The rows of a hot key are dealt by the hash of ``by`` to as many tasks as it has parts of ``1 / HOT_PARTS`` of all
     rows, where its row of the table stands too: at most twice ``HOT_PARTS`` copies in all. The hot keys, fewer
@@ -68,4 +68,4 @@ def join_spread(rows: DataFrame, table: DataFrame, key: str, by: Column) -> Data
     dealt = rows.join(F.broadcast(hot), F.col(key) == F.col("_key"), "left")
     dealt = dealt.withColumn("_salt", F.coalesce(F.pmod(F.xxhash64(by), F.col("_parts")), F.lit(0)).cast("int")).drop("_key", "_parts")
     last = F.when(F.col("k") > F.lit(max(part, 1.0)), parts - 1).otherwise(F.lit(0))
-    return dealt.join(table.withColumn("_salt", F.explode(F.sequence(F.lit(0), last))), [key, "_salt"]).drop("_salt")
+    return dealt.join(table.withColumn("_salt", F.explode(F.sequence(F.lit(0), last))), [key, "_salt"], how).drop("_salt")

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import chat_format, decontaminate, line_dedup, lm_score, mixing, ngram_join, quality, secrets, sharding, suffix_dedup
-from .common import table
+from .common import staged, table
 
 #: The conversation that op1 adds: control strings and an escape inside its texts.
 HOSTILE = r"\### Assistant: </turn> ok"
@@ -58,11 +58,21 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+# Fixed values, written out again so that a wrong list does not pass on both sides.
+_OP2_WORDS = {
+    "de": "der die und in den von zu das mit sich des auf für ist im dem nicht ein eine als",
+    "en": "the of and to in a is that for it as was with be by on not he are this",
+    "es": "de la que el en y a los se del las un por con no una su para es al",
+    "fr": "de la le et les des en un du une que est pour qui dans a par plus pas au",
+}
+_OP2_CLASSES = ("[a-z]+", "[A-Z]+", "[0-9]+", r"[\x20\x09-\x0D]+", r"""[.,;:!?'"()\-]+""", r"[#*$%&|<>=_{}\[\]/\\+~^@`]+")
+
+
 def _op2_sql() -> str:
-    """The base rules and the divergence verdict; the word lists and classes are those of the operator."""
-    common = " UNION ALL ".join(f"SELECT '{lang}' AS lang, {ws!r} AS ws" for lang, ws in quality.COMMON_WORDS.items())
+    """The base rules and the divergence verdict."""
+    common = " UNION ALL ".join(f"SELECT '{lang}' AS lang, string_split('{ws}', ' ') AS ws" for lang, ws in _OP2_WORDS.items())
     rest, chars = "coalesce(text, '')", []
-    for p in quality.CHAR_CLASSES:
+    for p in _OP2_CLASSES:
         after = f"regexp_replace({rest}, '{p.replace(chr(39), chr(39) * 2)}', '', 'g')"
         chars.append(f"length({rest}) - length({after})")
         rest = after
@@ -98,7 +108,7 @@ WITH c AS ({common}), w AS (
   SELECT *, list_append(hits, n_words - coalesce(list_sum(hits), 0)) AS hist FROM f
 ), r AS (
   SELECT lang, [{', '.join(f'sum(chars[{k}])' for k in range(1, n + 1))}] AS ref_chars,
-    [{', '.join(f'sum(hist[{k}])' for k in range(1, len(quality.COMMON_WORDS['en']) + 2))}] AS ref_all, sum(n_words) AS ref_words
+    [{', '.join(f'sum(hist[{k}])' for k in range(1, 22))}] AS ref_all, sum(n_words) AS ref_words
   FROM h WHERE NOT base_failed GROUP BY lang
 ), j AS (
   SELECT h.*, r.ref_words, r.ref_chars, list_slice(r.ref_all, 1, len(hist)) AS ref_hist FROM h LEFT JOIN r ON h.lang IS NOT DISTINCT FROM r.lang
@@ -164,24 +174,37 @@ def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     versions = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("path"), F.lit(1).alias("version"), "text")
-    found, _ = secrets.scan(versions)
+    blobs = staged(secrets.blob_store(versions), "blobs")
+    # One run with the base rules fills the ledger; the next has more rules, and scans only the pairs that it lacks.
+    ledger = staged(secrets.unseen(blobs, None, secrets.RULES[: len(secrets.BASE_KINDS)]), "ledger")
+    found, _ = secrets.scan(versions, ledger, secrets.RULES, blobs)
     base = F.filter("spans", lambda s: s["kind"].isin(*secrets.BASE_KINDS))
     joined = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
     count = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
     return found.select(F.col("path").alias("doc_id"), *[count(k) for k in secrets.BASE_KINDS], F.sha2(joined(base), 256).alias("base_sha256"), joined("spans").alias("spans"))
 
 
+#: The rules again, as the contract words them: kind, pattern, group whose length counts, least length.
+_OP7_RULES = (
+    ("assign", r"""((?:(?i)password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 2, 6),
+    ("access", r"AKIA[A-Z0-9]+", 0, 20),
+    ("hex", r"[0-9a-f]+", 0, 24),
+    ("pem", r"-----BEGIN [A-Z ]*PRIVATE KEY-----[A-Za-z0-9+/=\x20\x09-\x0D]*-----END [A-Z ]*PRIVATE KEY-----", 0, 0),
+    ("jwt", r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}", 0, 0),
+)
+
+
 def _op7_sql() -> str:
     """Matches by position: the pieces between them are what the pattern splits off."""
     parts = []
-    for k, r in enumerate(secrets.RULES):
-        pattern = r.pattern.replace("'", "''")
-        least = f"length(regexp_extract(m[k], '{pattern}', {r.group})) >= {r.least}" if r.least else "true"
+    for k, (kind, pattern, group, least) in enumerate(_OP7_RULES):
+        pattern = pattern.replace("'", "''")
+        good = f"length(regexp_extract(m[k], '{pattern}', {group})) >= {least}"
         parts.append(
-            f"SELECT rid, {k} AS rank, '{r.kind}' AS kind, k, m, s, {least} AS good FROM (SELECT rid, regexp_extract_all(text, '{pattern}') AS m, string_split_regex(text, '{pattern}') AS s FROM d), unnest(range(1, len(m) + 1)) AS u(k)"
+            f"SELECT rid, {k} AS rank, '{kind}' AS kind, k, m, s, {good} AS good FROM (SELECT rid, regexp_extract_all(text, '{pattern}') AS m, string_split_regex(text, '{pattern}') AS s FROM d), unnest(range(1, len(m) + 1)) AS u(k)"
         )
-    kinds = ", ".join(f"count(*) FILTER (WHERE kind = '{k}') AS n_{k}" for k in secrets.BASE_KINDS)
-    listed = ", ".join(f"'{k}'" for k in secrets.BASE_KINDS)
+    base = ("assign", "access", "hex")
+    kinds, listed = ", ".join(f"count(*) FILTER (WHERE kind = '{k}') AS n_{k}" for k in base), ", ".join(f"'{k}'" for k in base)
     return f"""
 WITH d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS text FROM documents),
 x AS ({' UNION ALL '.join(parts)}),
@@ -189,7 +212,7 @@ y AS (SELECT rid, rank, kind, length(m[k]) AS size, coalesce(list_sum(list_trans
 z AS (SELECT rid, {kinds},
   string_agg(kind || ':' || CAST(start AS BIGINT) || ':' || CAST(start + size AS BIGINT), ',' ORDER BY start, rank) FILTER (WHERE kind IN ({listed})) AS base,
   string_agg(kind || ':' || CAST(start AS BIGINT) || ':' || CAST(start + size AS BIGINT), ',' ORDER BY start, rank) AS spans FROM y GROUP BY rid)
-SELECT doc_id, {', '.join(f'coalesce(n_{k}, 0) AS n_{k}' for k in secrets.BASE_KINDS)}, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
+SELECT doc_id, {', '.join(f'coalesce(n_{k}, 0) AS n_{k}' for k in base)}, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
 FROM d LEFT JOIN z USING (rid)
 """
 

@@ -6,8 +6,8 @@ run scans each distinct blob once, with only the rules that have not seen it,
 and joins the findings back to all paths that hold the blob.
 
 Distinct blobs are found with a partial aggregation before the shuffle, so a
-group of copies leaves one row per task. Findings are joined on the blob id and a
-salt, so that the paths of a blob with very many are not read by one task.
+group of copies leaves one row per task. Findings are joined on the blob id; the paths of
+a blob with very many are dealt to several tasks by their measured number.
 
 Defined results: a null text is an empty blob; a path or version may be null or
 repeated, each row gets its result; an empty table gives no rows; other columns
@@ -23,6 +23,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from . import common
+
 
 @dataclass(frozen=True)
 class Rule:
@@ -45,8 +47,6 @@ RULES = (
     Rule("jwt", r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}"),
 )
 BASE_KINDS = ("assign", "access", "hex")
-#: Tasks over which the paths of one blob are dealt.
-SALTS = 16
 SPANS = "array<struct<start:int,rank:int,end:int,kind:string>>"
 
 
@@ -66,16 +66,18 @@ def _spans(text: Column, rule: Rule, rank: int) -> Column:
     return F.when(F.size(found) > 0, F.aggregate(pairs, zero, step)["out"]).otherwise(F.array().cast(SPANS))
 
 
-def scan(versions: DataFrame, ledger: DataFrame | None = None, rules: tuple[Rule, ...] = RULES, path: str = "path", version: str = "version", text: str = "text") -> tuple[DataFrame, DataFrame]:
-    """Findings by path, and the rows to append to the ledger.
-
-    The first result has ``path, version, blob_id, spans`` for every row of
-    ``versions``; the second ``blob_id, kind, rule_version, spans`` for every
-    blob and rule that ``ledger`` (of the same columns) had not seen.
-    """
+def _versions(versions: DataFrame, path: str, version: str, text: str) -> DataFrame:
     rows = versions.select(F.col(path).alias("path"), F.col(version).alias("version"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    rows = rows.withColumn("blob_id", F.sha2("text", 256))
-    blobs = rows.select("blob_id", "text").dropDuplicates(["blob_id"])
+    return rows.withColumn("blob_id", F.sha2("text", 256))
+
+
+def blob_store(versions: DataFrame, path: str = "path", version: str = "version", text: str = "text") -> DataFrame:
+    """``blob_id, text``: every distinct text once."""
+    return _versions(versions, path, version, text).select("blob_id", "text").dropDuplicates(["blob_id"])
+
+
+def unseen(blobs: DataFrame, ledger: DataFrame | None = None, rules: tuple[Rule, ...] = RULES) -> DataFrame:
+    """``blob_id, kind, rule_version, spans`` for every blob of a ``blob_store`` and rule that ``ledger`` (of the same columns) had not seen."""
     keys = {r.kind: f"{r.kind}/{r.version}" for r in rules}
     seen = F.array().cast("array<string>")
     if ledger is not None:
@@ -91,15 +93,27 @@ def scan(versions: DataFrame, ledger: DataFrame | None = None, rules: tuple[Rule
         )
         for k, r in enumerate(rules)
     ]
-    scanned = blobs.select("blob_id", F.explode(F.filter(F.array(*new), lambda x: x.isNotNull())).alias("x")).select("blob_id", "x.kind", "x.rule_version", "x.spans")
+    return blobs.select("blob_id", F.explode(F.filter(F.array(*new), lambda x: x.isNotNull())).alias("x")).select("blob_id", "x.kind", "x.rule_version", "x.spans")
+
+
+def scan(
+    versions: DataFrame, ledger: DataFrame | None = None, rules: tuple[Rule, ...] = RULES, blobs: DataFrame | None = None, path: str = "path", version: str = "version", text: str = "text"
+) -> tuple[DataFrame, DataFrame]:
+    """Findings by path, and the rows to append to the ledger.
 
+    The first result has ``path, version, blob_id, spans`` for every row of
+    ``versions``; the second is that of ``unseen``. ``blobs`` is a stored ``blob_store`` that holds
+    the texts of ``versions``; without one it is made here.
+    """
+    rows = _versions(versions, path, version, text)
+    scanned = unseen(blobs if blobs is not None else blob_store(versions, path, version, text), ledger, rules)
+    keys = {r.kind: f"{r.kind}/{r.version}" for r in rules}
     current = scanned
     if ledger is not None:
         is_current = F.concat_ws("/", "kind", F.col("rule_version").cast("string")).isin(*keys.values())
         current = scanned.unionByName(ledger.filter(is_current).select("blob_id", "kind", "rule_version", "spans"))
     found = current.filter(F.size("spans") > 0).groupBy("blob_id").agg(F.array_sort(F.flatten(F.collect_list("spans"))).alias("spans"))
-    # Paths of one blob are dealt over several tasks; the few blobs with findings are there in each.
-    paths = rows.select("path", "version", "blob_id").withColumn("salt", F.pmod(F.xxhash64("path", "version"), F.lit(SALTS)).cast("int"))
-    found = found.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    by_path = paths.join(found, ["blob_id", "salt"], "left").select("path", "version", "blob_id", F.coalesce("spans", F.array().cast(SPANS)).alias("spans"))
-    return by_path, scanned
+    paths = rows.select("path", "version", "blob_id")
+    found = common.staged(found.join(paths.groupBy("blob_id").agg(F.count("*").alias("k")), "blob_id"), "found")
+    joined = common.join_spread(paths, found, "blob_id", F.struct("path", "version"), "left")
+    return joined.select("path", "version", "blob_id", F.coalesce("spans", F.array().cast(SPANS)).alias("spans")), scanned
