@@ -413,3 +413,41 @@ def test_registered_queries_against_brute_force(spark):
     items = [tuple(r) for r in spark.read.parquet(f"{SMALL}/benchmark.parquet").select("item_id", "text").collect()]
     found = {(r["doc_id"], r["item_id"]) for r in queries.op3_decontaminate(spark, SMALL).collect()}
     assert {(d, i) for d, t in rows for i, x in items if normal(x) in normal(t)} <= found
+
+
+def line_removal(rows, min_chars=100):
+    """Aligns every document with every earlier one."""
+    import xxhash
+
+    keep = lambda x: xxhash.xxh64_intdigest(x.encode()) if WORD.search(x) else 0
+    docs = sorted({(d if d is not None else -1, t or "") for d, t in rows})
+    lines = [[keep(x) for x in t.split("\n")] for _, t in docs]
+    out = {}
+    for j, (d, t) in enumerate(docs):
+        sizes = [len(x) if WORD.search(x) else 0 for x in t.split("\n")]
+        gone = set()
+        for i in range(j):
+            gone |= set(line_dedup.common_blocks(lines[i], lines[j], sizes, min_chars))
+        out[d, t] = gone
+    return out
+
+
+def test_line_dedup_against_all_pairs(spark):
+    """Every line that aligning all pairs removes is removed."""
+    rng = random.Random(51)
+    passages = [prose(rng, 60, lines=True) for _ in range(6)]
+    common = [prose(rng, 9) for _ in range(4)]
+    rows = [(k, passages[0].split("\n")[k % 6] + "\n" + prose(rng, 40, lines=True)) for k in range(6)]
+    for k in range(6, 90):
+        parts = [prose(rng, 30, lines=True), rng.choice(passages), rng.choice(common), prose(rng, 20, lines=True)]
+        rows.append((k, "\n".join(parts[rng.randint(0, 1) :])))
+    rows += [(200 + k, rows[20 + k][1]) for k in range(5)]
+    want = line_removal(rows)
+    keys = {(r["doc_id"], r["text"]): r for r in documents(spark, rows).select("doc_id", "text", F.xxhash64("text").alias("h")).collect()}
+    got = {(r["key"]["doc_id"], r["key"]["hash"]): set(r["removed"]) for r in line_dedup.removed_lines(documents(spark, rows)).collect()}
+    lost = total = 0
+    for key, gone in want.items():
+        found = got.get((key[0], keys[key]["h"]), set())
+        assert found <= gone
+        lost, total = lost + len(gone - found), total + len(gone)
+    assert total > 300 and lost == 0
