@@ -3,14 +3,17 @@
 Records are ordered by a hash of their text, so equal texts are neighbours. A
 sample of keys is drawn, each with a chance in proportion to its size; quantiles
 of the sample split the key space into ranges. The ranges are then measured over
-all records, and an overfull one (a text with very many copies) is subdivided by
-a hash of the id. Prefix sums over the ranges, and within each range, give every
+all records, and an overfull one is subdivided: by the text, or, where one text alone has
+more than twice a range's share (fewer than ``ranges`` texts can), that text by a hash of the
+id. Prefix sums over the ranges, and within each range, give every
 record its place in bytes and in rows, from which the shard and the slot follow.
 
-The law is ``bytes``: a shard ends where its share of all bytes does, so that
-two shards differ by about one record. No task holds more than a range, and
+The law is ``bytes``: a shard ends where its share of all bytes does. Equal texts stay together
+if all of them have no more than ``whole`` of a shard's share: their middle decides for all, so that
+a shard's size is off by no more than that part; the records of a larger group, and of a
+text without copies, are placed by their own middle. No task holds more than a piece of a range, and
 only the splitters (``ranges - 1`` numbers) come to the driver. What is broadcast has a
-row for each range, piece or shard: at most ``ranges``, two and a half times as many, and ``shards``.
+row for each range, hot text, piece or shard: at most ``ranges`` of the first two, four times as many pieces, and ``shards``.
 
 Defined results: a null text has no bytes and the checksum 0 of an empty text; a null id
 is hashed as such; repeated rows are interchangeable and get a place each; an
@@ -41,7 +44,7 @@ def _range_of(key: Column, splitters: list[int]) -> Column:
     return F.aggregate(steps, F.lit(0), lambda at, s: at + F.when(F.coalesce(F.get(padded, at + s - 1) <= key, F.lit(False)), s).otherwise(0))
 
 
-def shard(docs: DataFrame, shards: int = 40, doc_id: str = "doc_id", text: str = "text", ranges: int = 512, seed: int = 23) -> DataFrame:
+def shard(docs: DataFrame, shards: int = 40, doc_id: str = "doc_id", text: str = "text", ranges: int = 512, seed: int = 23, whole: float = 0.1) -> DataFrame:
     """``doc_id, size, text_crc32, law, shard, slot`` for every row of ``docs``."""
     body = F.coalesce(F.col(text), F.lit(""))
     rows = docs.select(
@@ -63,24 +66,32 @@ def shard(docs: DataFrame, shards: int = 40, doc_id: str = "doc_id", text: str =
     splitters = sorted(set(found or []))
 
     placed = rows.withColumn("range", _range_of(F.col("key"), splitters).cast("int"))
-    # An overfull range is subdivided by the id.
-    full = placed.groupBy("range").agg(F.sum("size").alias("range_size"))
-    pieces = F.greatest(F.ceil(F.col("range_size") / F.lit(2.0 * max(1.0, total / ranges))), F.lit(1)).cast("int")
-    placed = placed.join(F.broadcast(full.select("range", pieces.alias("pieces"))), "range")
-    placed = placed.withColumn("piece", F.pmod("sub", F.col("pieces")).cast("int"))
+    # A hot text is a range of its own after the one it is in; other overfull ranges are subdivided by the text.
+    share = F.lit(2.0 * max(1.0, total / ranges))
+    hot = placed.groupBy("key").agg(F.sum("size").alias("key_size")).filter(F.col("key_size") > share).select("key", F.ceil(F.col("key_size") / share).cast("int").alias("hot_pieces"))
+    placed = placed.join(F.broadcast(hot), "key", "left").withColumn("hot", F.col("hot_pieces").isNotNull())
+    full = placed.filter("NOT hot").groupBy("range").agg(F.sum("size").alias("range_size"))
+    pieces = F.greatest(F.ceil(F.col("range_size") / share), F.lit(1)).cast("int")
+    placed = placed.join(F.broadcast(full.select("range", pieces.alias("pieces"))), "range", "left")
+    by_text, by_id = F.pmod(F.xxhash64("key"), F.col("pieces")).cast("int"), F.pmod("sub", F.col("hot_pieces")).cast("int")
+    placed = placed.withColumns({"hot_key": F.when(F.col("hot"), F.col("key")), "piece": F.when(F.col("hot"), by_id).otherwise(by_text)})
 
-    piece = placed.groupBy("range", "piece").agg(F.sum("size").alias("piece_size"), F.count("*").alias("piece_rows"))
-    ahead = Window.orderBy("range", "piece").rowsBetween(Window.unboundedPreceding, -1)
+    at = ["range", "hot", "hot_key", "piece"]
+    piece = placed.groupBy(*at).agg(F.sum("size").alias("piece_size"), F.count("*").alias("piece_rows"))
+    ahead = Window.orderBy(*at).rowsBetween(Window.unboundedPreceding, -1)
     piece = piece.select(
-        "range", "piece",
+        F.struct(*at).alias("_at"),
         F.coalesce(F.sum("piece_size").over(ahead), F.lit(0)).alias("bytes_ahead"),
         F.coalesce(F.sum("piece_rows").over(ahead), F.lit(0)).alias("rows_ahead"),
     )
-    within = Window.partitionBy("range", "piece").orderBy("key", "sub", "doc_id").rowsBetween(Window.unboundedPreceding, -1)
-    placed = placed.withColumns({"_bytes": F.coalesce(F.sum("size").over(within), F.lit(0)), "_rows": F.count("*").over(within)})
-    placed = placed.join(F.broadcast(piece), ["range", "piece"])
-    # The middle of a record decides, so that a record across a border goes to the nearer shard.
-    middle = 2 * (F.col("bytes_ahead") + F.col("_bytes")) + F.col("size")
+    within = Window.partitionBy(*at).orderBy("key", "sub", "doc_id").rowsBetween(Window.unboundedPreceding, -1)
+    upto = Window.partitionBy(*at).orderBy("key").rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    placed = placed.withColumns({"_bytes": F.coalesce(F.sum("size").over(within), F.lit(0)), "_rows": F.count("*").over(within), "_upto": F.sum("size").over(upto)})
+    placed = placed.withColumn("_group", F.sum("size").over(Window.partitionBy(*at, "key"))).withColumn("_at", F.struct(*at))
+    placed = placed.alias("p").join(F.broadcast(piece.alias("q")), F.col("p._at").eqNullSafe(F.col("q._at"))).select("p.*", "bytes_ahead", "rows_ahead")
+    # The middle of a group of equal texts, or of a record, decides, so that one across a border goes to the nearer shard.
+    alike = ~F.col("hot") & (F.col("_group") <= F.lit(whole * total / shards))
+    middle = 2 * F.col("bytes_ahead") + F.when(alike, 2 * F.col("_upto") - F.col("_group")).otherwise(2 * F.col("_bytes") + F.col("size"))
     placed = placed.withColumn("shard", F.least(F.floor(middle * shards / F.lit(2.0 * max(1, total))), F.lit(shards - 1)).cast("int"))
     placed = placed.withColumn("place", F.col("rows_ahead") + F.col("_rows"))
     first = placed.groupBy("shard").agg(F.min("place").alias("first_place"))
