@@ -40,7 +40,7 @@ def test_stages(spark, folder):
     kept_one = one.collect()
     keyed = [(k, r["text"]) for k, r in enumerate(got)]
     groups = linked(keyed, 5, 80)
-    of = {k: c for k, _, c in groups}
+    of = {k: c for k, _, c, _ in groups}
     classes = {of[next(k for k, t in keyed if t == r["text"])] for r in kept_one}
     assert len(kept_one) == len(classes) == len(set(of.values()))
     free = clean(spark, spark.createDataFrame(kept_one, kept.schema), path)
@@ -65,3 +65,26 @@ def test_empty_tables(spark, folder):
     docs = spark.read.parquet(f"{path}/documents.parquet").limit(0)
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, docs, path).count() == 0
+
+
+def test_rows_that_look_alike_are_told_apart(spark, tmp_path):
+    """Nulls in different columns, equal texts of two sources, ties, a very long text and clashing names."""
+    rng = random.Random(41)
+    text, path = prose(rng, 120), str(tmp_path)
+    long_ = prose(rng, 60_000, lines=True)
+    rows = [(None, text, "en", "a"), (1, text, None, "a"), (1, text, "en", None), (1, text, "en", None), (1, prose(rng, 120), "en", "b"), (2, long_, "en", "b"), (None, None, None, None), (3, "", "en", "b"), (4, prose(rng, 200), "xx", None)]
+    documents(spark, rows).write.parquet(f"{path}/documents.parquet")
+    spark.createDataFrame([(9, long_[5000:5400])], "item_id long, text string").write.parquet(f"{path}/benchmark.parquet")
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{path}/labels.parquet")
+    docs = spark.read.parquet(f"{path}/documents.parquet")
+    quality, near, clean, mixing, sharding = (f for _, f in corpus_pipeline.STAGES)
+    as_rows = lambda df: sorted(((r["doc_id"], r["text"], r["lang"], r["source"]) for r in df.collect()), key=str)
+    kept = quality(spark, docs, path)
+    assert as_rows(kept) == sorted((r for r in rows if r[1]), key=str)  # all four equal texts, with their own columns
+    one = as_rows(near(spark, docs, path))
+    assert len(one) == 6 and sum(r[1] == text for r in one) == 1 and (None, None, None, None) in one
+    free = as_rows(clean(spark, docs, path))
+    assert free == sorted((r for r in rows if r[1] != long_), key=str)
+    mixed = mixing(spark, docs, path)
+    assert as_rows(mixed) == as_rows(mixing(spark, docs.repartition(5), path)) and {r[1] for r in as_rows(mixed)} <= {r[1] for r in rows if r[1]}
+    assert sharding(spark, docs, path).count() == len(rows)

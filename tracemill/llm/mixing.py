@@ -13,7 +13,7 @@ source, sums by (source, range) are small, and rows are sorted only within
 their range.
 
 Defined results: a null text has size 0; a null source is a source, ordered last;
-rows of one id have equal keys and are told apart by their size; no total or a
+rows of one id have equal keys and are told apart by their size and text, so a rerun takes the same; no total or a
 source without words has target 0 and nothing taken; an empty table gives no
 rows; columns other than those named are ignored.
 """
@@ -73,7 +73,7 @@ def mix(docs: DataFrame, weights: DataFrame | None = None, doc_id: str = "doc_id
 
     ``weights`` has ``doc_id, weight``, one row for an id, weights above 0.
     """
-    rows = docs.select(*carry, F.col(doc_id).alias("doc_id"), F.col(source).alias("source"), common.word_count(F.col(text)).alias("size"))
+    rows = docs.select(*carry, F.col(doc_id).alias("doc_id"), F.col(source).alias("source"), common.word_count(F.col(text)).alias("size"), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("tie"))
     if weights is not None:
         w = weights.select(F.col("doc_id").alias("_id"), F.col("weight").cast("double").alias("weight"))
         rows = rows.join(w, F.col("doc_id") == F.col("_id"), "left").drop("_id")
@@ -110,7 +110,7 @@ def _pick(rows: DataFrame, left: DataFrame, nearest: bool) -> DataFrame:
     by_bucket = open_.groupBy("source", "bucket").agg(F.sum("part").alias("bucket_size"))
     before = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     ahead = by_bucket.select("source", "bucket", F.coalesce(F.sum("bucket_size").over(before), F.lit(0)).alias("ahead"))
-    w = Window.partitionBy("source", "bucket").orderBy("key", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
+    w = Window.partitionBy("source", "bucket").orderBy("key", "doc_id", "size", "tie").rowsBetween(Window.unboundedPreceding, -1)
     near = open_.withColumn("within", F.coalesce(F.sum("part").over(w), F.lit(0)))
     placed = near.alias("r").join(ahead.alias("a"), F.expr("r.source <=> a.source AND r.bucket = a.bucket")).select("r.*", (F.col("ahead") + F.col("within")).alias("ahead"))
     enough = 2 * F.col("ahead") + F.col("size") <= 2 * F.col("left") if nearest else F.col("ahead") + F.col("size") <= F.col("left")
