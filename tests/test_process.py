@@ -341,7 +341,7 @@ def test_all_in_one(spark, tmp_path, monkeypatch):
     assert cli.main([], spark) == 2
     monkeypatch.setenv("GITHUB_OUTPUT", str(tmp_path / "out"))
     (tmp_path / "p.yaml").write_text("rules: [{never: escalate}]\n")
-    cli.main(["check", "events.parquet", "-p", "p.yaml", "-o", str(tmp_path / "c.md")], spark)
+    cli.main(["check", str(tmp_path / "events.parquet"), "-p", "p.yaml", "-o", str(tmp_path / "c.md")], spark)
     assert [x.split("=")[0] for x in (tmp_path / "out").read_text().splitlines()] == ["status", "fitness", "conforming", "usd-per-case", "off-model-share", "failures"]
 
 

@@ -155,9 +155,10 @@ def everything(spark: SparkSession, a: argparse.Namespace) -> int:
     if source is None:
         raise ConfigError(f"no traces in {', '.join(DEFAULT_SOURCES)}; name them with --from")
     args = parser().parse_args
-    step = ingest(spark, args(["ingest", source])) or abstract(spark, args(["abstract", "events.parquet"]))
+    log = os.path.abspath("events.parquet")
+    step = ingest(spark, args(["ingest", os.path.abspath(source), "-o", log])) or abstract(spark, args(["abstract", log]))
     out = a.output or ("report.html" if a.format == "html" else "report.md")
-    return step or report(spark, args(["report", "events.parquet", "-f", a.format, "-o", out]))
+    return step or report(spark, args(["report", log, "-f", a.format, "-o", out]))
 
 
 def parser() -> argparse.ArgumentParser:
