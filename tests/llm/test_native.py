@@ -173,6 +173,23 @@ def test_sharding(spark, hot):
     assert sharding.shard(docs.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("doc_id", [None, 7])
+def test_sharding_of_one_row_repeated(spark, doc_id):
+    """A row that makes up a third of all rows keeps the law, with gapless slots and equal reruns."""
+    rng = random.Random(61)
+    text = prose(rng, 30)
+    rows = [(100 + k, prose(rng, rng.randint(20, 40))) for k in range(1600)] + [(doc_id, text)] * 800 + [(9, text)] * 3
+    docs = documents(spark, rows)
+    got = sharding.shard(docs.repartition(6), shards=40, ranges=64).collect()
+    assert sorted((str(r["doc_id"]), r["text_crc32"]) for r in got) == sorted((str(d), zlib.crc32(t.encode())) for d, t in rows)
+    of = [[r for r in got if r["shard"] == s] for s in range(40)]
+    assert all(sorted(r["slot"] for r in rs) == list(range(len(rs))) for rs in of)
+    sums, most = [sum(r["size"] for r in rs) for rs in of], max(r["size"] for r in got)
+    assert max(sums) - min(sums) <= 2 * most
+    again = sharding.shard(docs.repartition(3), shards=40, ranges=64).collect()
+    assert sorted(map(str, again)) == sorted(map(str, got))
+
+
 def spans(text):
     out = []
     for k, (kind, pattern, group, least) in enumerate((("assign", r"""(?a:(?i:(password|passwd|secret|token|api_?key)))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 2, 6), ("access", r"AKIA[A-Z0-9]+", 0, 20), ("hex", r"[0-9a-f]+", 0, 24))):

@@ -5,7 +5,7 @@ sample of keys is drawn, each with a chance in proportion to its size; quantiles
 of the sample split the key space into ranges. The ranges are then measured over
 all records, and an overfull one is subdivided: by the text, or, where one text alone has
 more than twice a range's share (fewer than ``ranges`` texts can), that text by a hash of the
-id. Prefix sums over the ranges, and within each range, give every
+id, and a row that alone is repeated so often by a number that each repetition gets. Prefix sums over the ranges, and within each range, give every
 record its place in bytes and in rows, from which the shard and the slot follow.
 
 The law is ``bytes``: a shard ends where its share of all bytes does. Equal texts stay together
@@ -13,7 +13,7 @@ if all of them have no more than ``whole`` of a shard's share: their middle deci
 a shard's size is off by no more than that part; the records of a larger group, and of a
 text without copies, are placed by their own middle. No task holds more than a piece of a range, and
 only the splitters (``ranges - 1`` numbers) come to the driver. What is broadcast has a
-row for each range, hot text, piece or shard: at most ``ranges`` of the first two, four times as many pieces, and ``shards``.
+row for each range, hot text, hot row, piece or shard: at most ``ranges`` of the first three, six times as many pieces, and ``shards``.
 
 Defined results: a null text has no bytes and the checksum 0 of an empty text; a null id
 is hashed as such; repeated rows are interchangeable and get a place each; an
@@ -53,6 +53,7 @@ def shard(docs: DataFrame, shards: int = 40, doc_id: str = "doc_id", text: str =
         F.crc32(body.cast("binary")).cast("long").alias("text_crc32"),
         F.xxhash64(body).alias("key"),
         F.xxhash64(F.coalesce(F.col(doc_id).cast("string"), F.lit("null")), F.lit(seed)).alias("sub"),
+        F.monotonically_increasing_id().alias("number"),
     )
     rows = common.staged(rows, "shard")
 
@@ -75,8 +76,13 @@ def shard(docs: DataFrame, shards: int = 40, doc_id: str = "doc_id", text: str =
     placed = placed.join(F.broadcast(full.select("range", pieces.alias("pieces"))), "range", "left")
     by_text, by_id = F.pmod(F.xxhash64("key"), F.col("pieces")).cast("int"), F.pmod("sub", F.col("hot_pieces")).cast("int")
     placed = placed.withColumns({"hot_key": F.when(F.col("hot"), F.col("key")), "piece": F.when(F.col("hot"), by_id).otherwise(by_text)})
+    # Repetitions of one row are interchangeable, so any number may deal them.
+    again = placed.filter("hot").groupBy("key", "sub").agg(F.sum("size").alias("row_size")).filter(F.col("row_size") > share)
+    placed = placed.join(F.broadcast(again.select("key", "sub", F.ceil(F.col("row_size") / share).cast("int").alias("parts"))), ["key", "sub"], "left")
+    part = F.pmod(F.xxhash64("number"), F.col("parts")).cast("int")
+    placed = placed.withColumns({"hot_row": F.when(F.col("parts").isNotNull(), F.col("sub")), "part": part})
 
-    at = ["range", "hot", "hot_key", "piece"]
+    at = ["range", "hot", "hot_key", "piece", "hot_row", "part"]
     piece = placed.groupBy(*at).agg(F.sum("size").alias("piece_size"), F.count("*").alias("piece_rows"))
     ahead = Window.orderBy(*at).rowsBetween(Window.unboundedPreceding, -1)
     piece = piece.select(
