@@ -182,3 +182,64 @@ def test_score_without_training_texts(spark):
     held = next(k for k in range(100) if crc_mod(k))
     r = lm_score.score(documents(spark, [(held, "some words")]), steps=5).first()
     assert r["n_known"] == 0 and r["train_tokens"] == 0 and r["base_score"] == 0.0 and r["held_out"]
+
+
+def test_score_learns_from_every_window(spark, monkeypatch):
+    """By default the weights take each position of each training text once."""
+    import pyarrow as pa
+
+    rng = random.Random(26)
+    rows = [(k, prose(rng, n)) for k, n in enumerate([5000, 400, 17, 1, 0, 90, 1200, 33, 64, 250])]
+    taken = []
+
+    def learned(runs, groups, p, *rest):
+        taken.append((lm_score._unpacked([bytes(r["w"]) for r in runs.select("w").collect()]), groups))
+        return p
+
+    monkeypatch.setattr(lm_score, "learned", learned)
+    lm_score.score(documents(spark, rows).repartition(3), steps=2).count()
+    words, want = lm_score.Words(lm_score.TOKENIZER), []
+    for k, t in rows:
+        if not crc_mod(k):
+            tokens, _, lengths = next(lm_score._sequences(pa.array([t]), words))
+            want.append(lm_score.windows(tokens, lengths, words.end)[0])
+    want = np.concatenate(want)
+    (got, groups), = taken
+    assert got.shape == want.shape and groups == 1
+    assert (np.unique(got, axis=0) == np.unique(want, axis=0)).all()
+    assert sorted(map(bytes, got)) == sorted(map(bytes, want))
+
+
+def test_packed_runs_of_wide_subwords():
+    rng = np.random.default_rng(7)
+    lengths, end = np.array([1, 16, 17, 3000, 33]), 70_000
+    tokens = rng.integers(0, end, lengths.sum())
+    tokens[np.cumsum(lengths) - 1] = end
+    text, first = lm_score._windows(lengths)
+    number = first // lm_score.STRIDE
+    begin = np.flatnonzero(number % lm_score.RUN == 0)
+    last = np.minimum(number[begin] + lm_score.RUN, -(-lengths[text[begin]] // lm_score.STRIDE))
+    packed = lm_score._packed_runs(tokens, lengths, end, text[begin], number[begin], last).to_pylist()
+    alone = np.concatenate([lm_score.windows(t, np.array([len(t)]), end)[0] for t in np.split(tokens, np.cumsum(lengths)[:-1])])
+    assert (lm_score._unpacked(packed, end) == alone).all() and len(packed) == 7
+
+
+def test_parameters_of_many_groups_are_averaged(spark, monkeypatch):
+    """The average does not depend on how many groups are averaged at a time, and a group that is too large is taken in pieces."""
+    rng = random.Random(27)
+    rows = [(k, prose(rng, 300)) for k in range(120)]
+    monkeypatch.setattr(lm_score, "GROUP_WINDOWS", 400)
+    got = []
+    for means in (64, 2):
+        monkeypatch.setattr(lm_score, "MEANS", means)
+        got.append([r["score"] for r in sorted(lm_score.score(documents(spark, rows), steps=5).collect())])
+    assert got[0] == pytest.approx(got[1], rel=1e-4)
+
+
+def test_start_runs(spark, monkeypatch):
+    """As many runs as wanted, whatever the layout, and few more are looked at."""
+    monkeypatch.setattr(lm_score, "START_ROWS", 50)
+    runs = spark.range(3000).selectExpr("id AS k", "0L AS run", "CAST(CAST(id AS STRING) AS BINARY) AS w")
+    got, again = ([bytes(r["w"]) for r in lm_score.start_runs(runs.repartition(n)).collect()] for n in (2, 7))
+    assert got == again and len(set(got)) == 50
+    assert lm_score.start_runs(runs.limit(60)).count() == 50 and lm_score.start_runs(runs.limit(9)).count() == 9

@@ -7,12 +7,12 @@ the rare subwords, a class of their own, are told apart by how often they occur.
 the product over its subwords, is mixed in equal parts with the base model's.
 
 The model learns from all training texts. Its subword counts and classes are
-sums over all of them. The weights take one of ``share`` windows of every text, chosen by a hash, so
-that what they learn from grows with the corpus. They start from a fit on the driver to at most
-``START_ROWS`` runs of windows, from texts of any length; then the windows are dealt by hash
+sums over all of them, and its weights take every window of every text, so that each subword
+and each end is predicted once. They start from a fit on the driver to at most
+``START_ROWS`` runs of windows, from texts of any length; then the runs are dealt by hash
 to groups of about ``GROUP_WINDOWS``, each task takes every window of its group once, and the
-parameters are averaged: an embedding by how often its subword is an input in the group, all else by windows.
-Counts are summed in runs of rows before they
+parameters are averaged, ``MEANS`` groups at a time: an embedding by how often its subword is an input in the group,
+all else by windows. Counts are summed in runs of rows before they
 are shuffled. Frequent words, at most ``MAX_FREQUENT`` of them, travel to the tasks; words
 that are rarer are looked up by a join, so no table that grows is broadcast.
 
@@ -53,10 +53,10 @@ CLUSTERED = 1000
 MAX_FREQUENT = 1 << 19
 RANGES = 64
 MIX = 0.5
-#: The weights learn from one of so many windows; of these, windows that one task takes, and that travel together.
-SHARE = 16
-GROUP_WINDOWS = 1 << 17
+#: Windows that one task takes, and that travel together; groups whose parameters are averaged together.
+GROUP_WINDOWS = 1 << 18
 RUN = 64
+MEANS = 64
 #: Runs of windows that the start is fitted to, and embeddings that are averaged together.
 START_ROWS = 1024
 BLOCK = 1024
@@ -114,27 +114,32 @@ def _within(classes: Classes, w: np.ndarray, w0: np.ndarray, y: np.ndarray, h: n
     ``grad`` is ``(weight, dh, dw, dw0)``: the weighted gradients of the negated result are added to the last three.
     """
     out = classes.within[y].astype(np.float32)
-    some = np.flatnonzero(classes.slot[y] >= 0)
-    some = some[np.argsort(classes.group[y[some]], kind="stable")]
-    of = classes.group[y[some]]
-    for a, b in zip(*(lambda c: (c, np.append(c[1:], len(of))))(np.flatnonzero(np.concatenate([[True], of[1:] != of[:-1]]))) if len(of) else ((), ()), strict=True):
-        r, c = some[a:b], of[a] - SINGLE
-        own = slice(classes.cut[c], classes.cut[c + 1])
-        z = h[r] @ w[own].T
+    slot, of = classes.slot[y], classes.group[y]
+    some = np.flatnonzero(slot >= 0)
+    some = some[np.argsort(of[some].astype(np.uint8), kind="stable")]
+    place, own_h = slot[some], np.take(h, some, axis=0)
+    ends = np.cumsum(np.bincount(of[some] - SINGLE, minlength=CLUSTERS))
+    found, total, own_dh = np.empty(len(some), h.dtype), np.empty(len(some), h.dtype), np.empty_like(own_h) if grad is not None else None
+    weight = grad[0][some] if grad is not None else None
+    for c, (a, b) in enumerate(zip(np.concatenate([[0], ends[:-1]]).tolist(), ends.tolist(), strict=True)):
+        if a == b:
+            continue
+        own, at, mine = slice(classes.cut[c], classes.cut[c + 1]), slice(a, b), np.arange(b - a)
+        z = own_h[at] @ w[own].T
         z += w0[own]
-        place = classes.slot[y[r]]
-        picked = z[np.arange(len(r)), place]
+        found[at] = z[mine, place[at]]
         np.exp(z, out=z)
-        total = z @ np.ones(z.shape[1], z.dtype)
-        out[r] = picked - np.log(total)
+        total[at] = t = z @ np.ones(z.shape[1], z.dtype)
         if grad is not None:
-            weight, dh, dw, dw0 = grad
-            z /= total[:, None]
-            z[np.arange(len(r)), place] -= 1
-            z *= weight[r][:, None]
-            dh[r] = z @ w[own]
-            dw[own] += z.T @ h[r]
-            dw0[own] += z.sum(axis=0)
+            _, _, dw, dw0 = grad
+            z *= (weight[at] / t)[:, None]
+            z[mine, place[at]] -= weight[at]
+            own_dh[at] = z @ w[own]
+            dw[own] += z.T @ own_h[at]
+            dw0[own] += np.ones(b - a, z.dtype) @ z
+    out[some] = found - np.log(total)
+    if grad is not None:
+        grad[1][some] = own_dh
     return out
 
 
@@ -168,14 +173,14 @@ def token_scores(model: Model, tokens: np.ndarray, lengths: np.ndarray, at_once:
         np.minimum(at, len(tokens) - 1, out=at)
         ids = inputs[at]
         mine = ids[:, STRIDE:]
-        logits = np.matmul(model.query[mine], model.key[ids].transpose(0, 2, 1))
+        logits = np.matmul(np.take(model.query, mine, axis=0), np.take(model.key, ids, axis=0).transpose(0, 2, 1))
         logits += model.bias
         logits[f == 0, :, :STRIDE] = -1e9
         np.exp(logits, out=logits)
         # The last column of the values is 1 and gives the weights' sum.
-        attended = np.matmul(logits, model.value[ids]).reshape(-1, DIM + 1)
+        attended = np.matmul(logits, np.take(model.value, ids, axis=0)).reshape(-1, DIM + 1)
         attended = attended[:, :DIM] / attended[:, DIM:]
-        classes = model.out[mine.ravel()]
+        classes = np.take(model.out, mine.ravel(), axis=0)
         classes += attended @ model.mixed
         ok = (half + f[:, None] < lengths[t][:, None]).ravel()
         where = at[:, STRIDE:].ravel()[ok]
@@ -183,7 +188,7 @@ def token_scores(model: Model, tokens: np.ndarray, lengths: np.ndarray, at_once:
         rows = np.flatnonzero(ok)
         picked = classes[rows, model.classes.group[y]]
         np.exp(classes, out=classes)
-        h = model.inner[mine.ravel()[rows]] + attended[rows] @ model.inner_mixed
+        h = np.take(model.inner, mine.ravel()[rows], axis=0) + np.take(attended, rows, axis=0) @ model.inner_mixed
         out[where] = picked - np.log((classes @ ones)[rows]) + _within(model.classes, model.w, model.w0, y, h)
     return out
 
@@ -322,55 +327,91 @@ def _start(counts: np.ndarray, classes: Classes, rng: np.random.Generator) -> di
     return {k: v.astype(np.float32) for k, v in p.items()}
 
 
+def _summed(order: np.ndarray, cut: np.ndarray, rows: np.ndarray) -> np.ndarray:
+    """Sums of the rows by the group of each: ``order`` puts the groups side by side, ``cut`` has where they begin."""
+    # Two columns are added at once as one complex number.
+    return np.add.reduceat(np.take(rows, order, axis=0).view(np.result_type(rows.dtype, np.complex64)), cut, axis=0).view(rows.dtype)
+
+
 def _fit(p: dict[str, np.ndarray], classes: Classes, rows: np.ndarray, picks: Iterator[np.ndarray], steps: int, rate: float, attention: float = 1.0) -> None:
-    """Fits the parameters in place to ``windows`` by Adam, in numpy; each of the picks is a step."""
+    """Fits the parameters in place to ``windows`` by Adam, in numpy; each of the picks is a step.
+
+    What depends on the input alone is computed once for each distinct subword of a step. Exponents are kept from the limits of a float as in scoring.
+    """
     first, second = {k: np.zeros_like(v) for k, v in p.items()}, {k: np.zeros_like(v) for k, v in p.items()}
-    distance, mask, scale = _distance(), _causal(), np.float32(1 / np.sqrt(DIM))
+    distance, mask, scale, kind = _distance(), _causal(), np.float32(1 / np.sqrt(DIM)), p["E"].dtype
+    place, seen = np.zeros(len(p["E"]), np.int64), np.zeros(len(p["E"]), bool)
     for step, w in enumerate(picks):
-        taken = rows[w]
-        ids, tokens, size = taken[:, : 2 * STRIDE], taken[:, STRIDE + 1 : -1].ravel(), taken[:, -1]
-        ok, y = (np.arange(STRIDE) < (size & 255)[:, None]).ravel(), classes.group[tokens]
-        e = p["E"][ids]
-        eq = e[:, STRIDE:]
-        q, k, v = eq @ p["Q"] * scale, e @ p["K"], e @ p["V"]
-        s = q @ k.transpose(0, 2, 1) + p["b"][distance] + mask
+        taken = np.take(rows, w, axis=0)
+        ids, tokens, size, n = taken[:, : 2 * STRIDE], taken[:, STRIDE + 1 : -1].ravel(), taken[:, -1], len(w)
+        ok, y, own = (np.arange(STRIDE) < (size & 255)[:, None]).ravel(), classes.group[tokens], np.arange(n * STRIDE)
+        seen[ids] = True
+        used = np.flatnonzero(seen)
+        seen[used] = False
+        place[used] = np.arange(len(used))
+        back = place[ids]
+        mine, e = back[:, STRIDE:], p["E"][used]
+        query, key, value = e @ p["Q"] * scale, e @ p["K"], np.hstack([e @ p["V"], np.ones((len(used), 1), kind)])
+        room = LIMIT / max(float(np.linalg.norm(key, axis=1).max()), 1e-6)
+        query *= np.minimum(1, room / np.maximum(np.linalg.norm(query, axis=1, keepdims=True), 1e-6))
+        q, k, v = (np.take(table, at, axis=0) for table, at in ((query, mine), (key, back), (value, back)))
+        s = np.matmul(q, k.transpose(0, 2, 1))
+        s += (np.clip(p["b"], -LIMIT / 2, LIMIT / 2)[distance] + mask).astype(kind)
         s[size > 255, :, :STRIDE] = -1e9
-        s = np.exp(s - s.max(axis=2, keepdims=True))
-        s /= s.sum(axis=2, keepdims=True)
-        a = s @ v * np.float32(attention)
-        eq2, a2 = eq.reshape(-1, DIM), a.reshape(-1, DIM)
-        z = eq2 @ p["C"] + a2 @ p["A"] + p["c"]
-        z = np.exp(z - z.max(axis=1, keepdims=True))
-        z /= z.sum(axis=1, keepdims=True)
+        np.exp(s, out=s)
+        # The last column of the values is 1 and gives the weights' sum.
+        a = np.matmul(s, v)
+        inverse = 1 / a[:, :, DIM:]
+        # One row for each subword that is predicted: the last input, what attention brings, and 1.
+        x = np.empty((n * STRIDE, 2 * DIM + 1), kind)
+        x[:, :DIM], x[:, 2 * DIM] = np.take(e, mine.ravel(), axis=0), 1
+        a = a[:, :, :DIM] * inverse
+        x[:, DIM : 2 * DIM] = a.reshape(-1, DIM) * kind.type(attention)
+        outer, inner = np.vstack([p["C"], p["A"], p["c"] - p["c"].max()]), np.vstack([p["H"], p["G"]])
+        z = x @ outer
+        np.clip(z, -2 * LIMIT, 2 * LIMIT, out=z)
+        np.exp(z, out=z)
         # Backwards.
-        weight = (ok / max(ok.sum(), 1)).astype(np.float32)
-        z[np.arange(len(y)), y] -= 1
-        z *= weight[:, None]
-        dh, dw, dw0 = np.zeros_like(eq2), np.zeros_like(p["W"]), np.zeros_like(p["w"])
+        weight = (ok / max(ok.sum(), 1)).astype(kind)
+        z *= (weight / (z @ np.ones(z.shape[1], kind)))[:, None]
+        z[own, y] -= weight
+        dh, dw, dw0 = np.zeros((n * STRIDE, DIM), kind), np.zeros_like(p["W"]), np.zeros_like(p["w"])
         np.clip(p["W"], -5, 5, out=p["W"])
-        _within(classes, p["W"], p["w"], tokens, eq2 @ p["H"] + a2 @ p["G"], (weight, dh, dw, dw0))
-        g = {"c": z.sum(axis=0), "C": eq2.T @ z, "A": a2.T @ z, "H": eq2.T @ dh, "G": a2.T @ dh, "W": dw, "w": dw0}
-        deq = (z @ p["C"].T + dh @ p["H"].T).reshape(eq.shape)
-        da = (z @ p["A"].T + dh @ p["G"].T).reshape(a.shape) * np.float32(attention)
-        dv = s.transpose(0, 2, 1) @ da
-        ds = da @ v.transpose(0, 2, 1)
-        ds = s * (ds - (ds * s).sum(axis=2, keepdims=True))
-        g["b"] = np.bincount(distance.ravel(), ds.sum(axis=0).ravel(), minlength=2 * STRIDE)
-        dq, dk = ds @ k * scale, ds.transpose(0, 2, 1) @ q
-        g["Q"] = eq2.T @ dq.reshape(-1, DIM)
-        g["K"] = e.reshape(-1, DIM).T @ dk.reshape(-1, DIM)
-        g["V"] = e.reshape(-1, DIM).T @ dv.reshape(-1, DIM)
-        de = dk @ p["K"].T + dv @ p["V"].T
-        de[:, STRIDE:] += deq + dq @ p["Q"].T
-        used, back = np.unique(ids.ravel(), return_inverse=True)
-        de = de.reshape(-1, DIM)
-        ge = np.stack([np.bincount(back, de[:, d], minlength=len(used)) for d in range(DIM)], axis=1).astype(np.float32)
+        _within(classes, p["W"], p["w"], tokens, x[:, : 2 * DIM] @ inner, (weight, dh, dw, dw0))
+        g_outer, g_inner = x.T @ z, x[:, : 2 * DIM].T @ dh
+        g = {"C": g_outer[:DIM], "A": g_outer[DIM : 2 * DIM], "c": g_outer[2 * DIM], "H": g_inner[:DIM], "G": g_inner[DIM:], "W": dw, "w": dw0}
+        dx = z @ outer[: 2 * DIM].T
+        dx += dh @ inner.T
+        # The gradient of the weights' sum is a further column beside that of the attended value.
+        da = np.empty((n, STRIDE, DIM + 1), kind)
+        np.multiply(dx[:, DIM:].reshape(a.shape), inverse * kind.type(attention), out=da[:, :, :DIM])
+        np.negative(np.matmul((da[:, :, :DIM] * a).reshape(-1, DIM), np.ones(DIM, kind)).reshape(n, STRIDE), out=da[:, :, DIM])
+        both = np.empty((n, 2 * STRIDE, 2 * DIM), kind)
+        both[:, :, DIM:] = np.matmul(s.transpose(0, 2, 1), da[:, :, :DIM])
+        s *= np.matmul(da, v.transpose(0, 2, 1))
+        both[:, :, :DIM] = np.matmul(s.transpose(0, 2, 1), q)
+        g["b"] = np.bincount(distance.ravel(), np.ones(n, kind) @ s.reshape(n, -1), minlength=2 * STRIDE)
+        dq = np.empty((n, STRIDE, 2 * DIM), kind)
+        dq[:, :, :DIM], dq[:, :, DIM:] = np.matmul(s, k), dx[:, :DIM].reshape(a.shape)
+        # Sums by subword, then through the tables.
+        of = back.ravel().astype(np.uint16) if len(used) < 1 << 16 else back.ravel()
+        order = np.argsort(of, kind="stable")
+        sums = _summed(order, np.searchsorted(of[order], np.arange(len(used))), both.reshape(-1, 2 * DIM))
+        of = of.reshape(back.shape)[:, STRIDE:].ravel()
+        order = np.argsort(of, kind="stable")
+        by_group = of[order]
+        cut = np.flatnonzero(np.concatenate([[True], by_group[1:] != by_group[:-1]]))
+        own_sums = np.zeros((len(used), 2 * DIM), kind)
+        own_sums[by_group[cut]] = _summed(order, cut, dq.reshape(-1, 2 * DIM))
+        dk, dv, dq = sums[:, :DIM], sums[:, DIM:], own_sums[:, :DIM] * scale
+        g["Q"], g["K"], g["V"] = e.T @ dq, e.T @ dk, e.T @ dv
+        ge = dk @ p["K"].T + dv @ p["V"].T + dq @ p["Q"].T + own_sums[:, DIM:]
         now = rate * (1 - step / steps)
         for name, grad in [*g.items(), ("E", ge)]:
             of = used if name == "E" else slice(None)
-            first[name][of] = 0.9 * first[name][of] + 0.1 * grad
-            second[name][of] = 0.99 * second[name][of] + 0.01 * grad**2
-            p[name][of] -= now * (first[name][of] / (1 - 0.9 ** (step + 1))) / (np.sqrt(second[name][of] / (1 - 0.99 ** (step + 1))) + 1e-6)
+            first[name][of] = m = 0.9 * first[name][of] + 0.1 * grad
+            second[name][of] = r = 0.99 * second[name][of] + 0.01 * grad**2
+            p[name][of] -= (now * (m / (1 - 0.9 ** (step + 1))) / (np.sqrt(r / (1 - 0.99 ** (step + 1))) + 1e-6)).astype(kind)
 
 
 def _model(path: str, p: dict[str, np.ndarray], classes: Classes, attention: float = 1.0) -> Model:
@@ -404,8 +445,47 @@ def train(texts: list[str], path: str = TOKENIZER, steps: int = 400, batch: int
     return _model(path, p, classes, float(attention))
 
 
+def _packed_runs(tokens: np.ndarray, lengths: np.ndarray, end: int, text: np.ndarray, first: np.ndarray, last: np.ndarray) -> pa.Array:
+    """The windows from number ``first`` up to ``last`` of these texts, each subword once: a header, what is before them, and what they predict.
+
+    The header is the size of the last window, and 256 more where the first is its text's first.
+    """
+    kind = np.dtype(np.uint16 if end < 1 << 16 else np.int32)
+    ahead, begins = STRIDE + 1, np.cumsum(lengths) - lengths
+    laid = np.full(len(tokens) + ahead * len(lengths), end, kind)
+    laid[np.arange(len(tokens)) + np.repeat(ahead * np.arange(1, len(lengths) + 1), lengths)] = tokens
+    predicted = np.minimum(last * STRIDE, lengths[text]) - first * STRIDE
+    sizes = predicted + ahead + 1
+    offsets = np.concatenate([[0], np.cumsum(sizes)])
+    data = np.empty(offsets[-1], kind)
+    # One place before the run's own is read too, and has the header.
+    from_ = begins[text] + ahead * text + first * STRIDE - 1
+    data[:] = laid[np.maximum(np.arange(len(data)) + np.repeat(from_ - offsets[:-1], sizes), 0)]
+    data[offsets[:-1]] = (predicted - 1) % STRIDE + 1 + np.where(first == 0, 256, 0)
+    return pa.Array.from_buffers(pa.binary(), len(text), [None, pa.py_buffer((offsets * kind.itemsize).astype(np.int32)), pa.py_buffer(data)])
+
+
+def _unpacked(column: list[bytes], end: int = 0) -> np.ndarray:
+    """The ``windows`` of packed runs; ``end`` tells how wide their subwords are."""
+    if not column:
+        return np.empty((0, 2 * STRIDE + 2), np.int32)
+    kind, ahead = np.dtype(np.uint16 if end < 1 << 16 else np.int32), STRIDE + 1
+    sizes = np.array([len(x) for x in column]) // kind.itemsize
+    data = np.frombuffer(b"".join(column), kind)
+    begins = np.cumsum(sizes) - sizes
+    n = -(-(sizes - ahead - 1) // STRIDE)
+    number = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+    # A last window that is not full is filled with the last subword.
+    at = (np.repeat(begins + 1, n) + number * STRIDE)[:, None] + np.arange(2 * STRIDE + 1)
+    rows = np.empty((len(at), 2 * STRIDE + 2), np.int32)
+    rows[:, :-1] = data[np.minimum(at, np.repeat(begins + sizes - 1, n)[:, None])]
+    header, final = np.repeat(data[begins].astype(np.int32), n), number == np.repeat(n - 1, n)
+    rows[:, -1] = np.where(final, header & 255, STRIDE) + np.where((number == 0) & (header > 255), 256, 0)
+    return rows
+
+
 def window_rows(texts: DataFrame, path: str, share: int, subwords: np.ndarray) -> DataFrame:
-    """``k, run, w, i, n``: one of ``share`` windows of each of the texts ``k, text``, in runs; which ones, the hash ``k`` decides.
+    """``k, run, w, i, n``: one of ``share`` windows of each of the texts ``k, text``, in packed runs; which ones, the hash ``k`` decides.
 
     Rows with ``i`` add ``n`` to the place ``i`` of the classes' ``_contexts``, which are summed over all texts.
     """
@@ -419,50 +499,62 @@ def window_rows(texts: DataFrame, path: str, share: int, subwords: np.ndarray) -
                 contexts = contexts + _contexts(subwords, tokens, inputs)
                 own = keys[at : at + len(lengths)]
                 at += len(lengths)
-                rows, text = windows(tokens, lengths, words.end, lambda t, i, own=own: np.flatnonzero((i + own[t] % share) % share == 0))
-                if not len(text):
-                    continue
-                cut = np.flatnonzero(np.concatenate([[True], text[1:] != text[:-1]]))
-                begin = [x for a, b in zip(cut, np.append(cut[1:], len(text)), strict=True) for x in range(a, b, RUN)]
-                ends = [*begin[1:], len(text)]
-                number = np.arange(len(text)) - np.repeat(cut, np.diff(np.append(cut, len(text))))
+                # Adjacent windows, at most RUN of them, are a run.
+                text, first = _windows(lengths)
+                wide, number = RUN if share == 1 else 1, first // STRIDE
+                begin = np.flatnonzero((number + own[text] % share) % share == 0 if share > 1 else number % RUN == 0)
+                text, number = text[begin], number[begin]
+                last = np.minimum(number + wide, -(-lengths[text] // STRIDE))
                 yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(own[text[begin]]), pa.array(number[begin].astype(np.int64)), pa.array([rows[a:b].tobytes() for a, b in zip(begin, ends, strict=True)], pa.binary()),
-                        pa.nulls(len(begin), pa.int32()), pa.nulls(len(begin), pa.int64()),
-                    ],
-                    names,
-                )
+                    [pa.array(own[text]), pa.array(number.astype(np.int64)), _packed_runs(tokens, lengths, words.end, text, number, last), pa.nulls(len(begin), pa.int32()), pa.nulls(len(begin), pa.int64())], names
+                )
         if len(at := np.flatnonzero(contexts)):
             yield pa.RecordBatch.from_arrays([*(pa.nulls(len(at), t) for t in (pa.int64(), pa.int64(), pa.binary())), pa.array(at.astype(np.int32)), pa.array(contexts[at].astype(np.int64))], names)
 
     return texts.mapInArrow(run, "k long, run long, w binary, i int, n long")
 
 
-def _unpacked(column: list) -> np.ndarray:
-    return np.frombuffer(b"".join(column), np.int32).reshape(-1, 2 * STRIDE + 2)
+def start_runs(runs: DataFrame) -> DataFrame:
+    """At most ``START_ROWS`` of the runs, by their hash. Only about twice as many are put in order, so that not each task sends that many."""
+    number = F.xxhash64("k", "run")
+    if (n := runs.count()) > 2 * START_ROWS:
+        runs = runs.filter(F.shiftrightunsigned(number, 33) < -(-(START_ROWS << 32) // n))
+    return runs.orderBy(number, "k", "run", "w").limit(START_ROWS).select("w")
 
 
 def learned(runs: DataFrame, groups: int, p: dict[str, np.ndarray], classes: Classes, batch: int = 512, rate: float = 0.005, seed: int = 5) -> dict[str, np.ndarray]:
     """The parameters after every window of ``runs``, dealt by hash to as many groups, was taken once."""
     shared = runs.sparkSession.sparkContext.broadcast((p, classes))
-    others = [k for k in p if k != "E"]
+    others, most, end = [k for k in p if k != "E"], 2 * GROUP_WINDOWS, len(p["E"]) - 1
+
+    def chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
+        """All windows of the task; those of a group that came out too large, in pieces."""
+        held, size = [], 0
+        for b in batches:
+            for w in b.column("w").to_pylist():
+                held.append(w)
+                size += -(-len(w) // (2 * STRIDE))
+                if size >= most:
+                    yield _unpacked(held, end)
+                    held, size = [], 0
+        if held:
+            yield _unpacked(held, end)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         start, classes = shared.value
-        part = TaskContext.get().partitionId()
-        held = [x for b in batches for x in b.column("w").to_pylist()]
-        if not held:
+        part, windows_ = TaskContext.get().partitionId(), 0
+        p, weight, random = {k: v.copy() for k, v in start.items()}, np.zeros(len(start["E"]), np.int64), np.random.default_rng([seed, part])
+        for rows in chunks(batches):
+            steps = -(-len(rows) // batch)
+            _fit(p, classes, rows, iter(np.array_split(random.permutation(len(rows)), steps)), steps, rate)
+            weight += np.bincount(rows[:, : 2 * STRIDE].ravel(), minlength=len(weight))
+            windows_ += len(rows)
+        if not windows_:
             return
-        rows, p = _unpacked(held), {k: v.copy() for k, v in start.items()}
-        del held
-        steps = -(-len(rows) // batch)
-        _fit(p, classes, rows, iter(np.array_split(np.random.default_rng([seed, part]).permutation(len(rows)), steps)), steps, rate)
         # Only the embeddings that the group moved are sent.
-        weight = np.bincount(rows[:, : 2 * STRIDE].ravel(), minlength=len(p["E"]))
         used = np.flatnonzero(weight)
         cut = np.flatnonzero(np.concatenate([[True], used[1:] // BLOCK != used[:-1] // BLOCK]))
-        out = [(-1, np.zeros(1, np.int32), np.full(1, float(len(rows))), np.concatenate([p[k].ravel() for k in others]))]
+        out = [(-1, np.zeros(1, np.int32), np.full(1, float(windows_)), np.concatenate([p[k].ravel() for k in others]))]
         out += [(int(used[a] // BLOCK), (used[a:b] % BLOCK).astype(np.int32), weight[used[a:b]].astype(np.float64), p["E"][used[a:b]]) for a, b in zip(cut, np.append(cut[1:], len(used)), strict=True)]
         columns = [pa.array([r[0] for r in out], pa.int32()), pa.array([part] * len(out), pa.int32()), *(pa.array([r[c].tobytes() for r in out], pa.binary()) for c in (1, 2, 3))]
         yield pa.RecordBatch.from_arrays(columns, ["block", "part", "ids", "weight", "p"])
@@ -478,19 +570,22 @@ def learned(runs: DataFrame, groups: int, p: dict[str, np.ndarray], classes: Cla
                 total, weights = np.zeros((n, x.shape[1])), np.zeros(n)
             total[ids] += w[:, None] * x
             weights[ids] += w
-        return pa.table({"block": t.column("block").slice(0, 1), "weight": pa.array([weights.tobytes()], pa.binary()), "p": pa.array([(total / np.maximum(weights, 1e-9)[:, None]).astype(np.float32).tobytes()], pa.binary())})
-
-    dealt = runs.repartition(groups, "k", "run").sortWithinPartitions("k", "run", "w").select("w")
+        ids = np.flatnonzero(weights).astype(np.int32)
+        columns = [ids, weights[ids], (total[ids] / weights[ids][:, None]).astype(np.float32)]
+        return pa.table({"block": t.column("block").slice(0, 1), "part": pa.array([t.column("part")[0].as_py() // MEANS], pa.int32()), **{k: pa.array([x.tobytes()], pa.binary()) for k, x in zip(("ids", "weight", "p"), columns, strict=True)}})
+
+    kind = "block int, part int, ids binary, weight binary, p binary"
+    means = runs.repartition(groups, "k", "run").sortWithinPartitions("k", "run", "w").select("w").mapInArrow(run, kind)
+    while groups > 1:  # no task reads the parameters of more than MEANS groups
+        means, groups = means.groupBy("block", F.floor(F.col("part") / MEANS)).applyInArrow(mean, kind), -(-groups // MEANS)
     out = {k: v.copy() for k, v in p.items()}
-    for r in dealt.mapInArrow(run, "block int, part int, ids binary, weight binary, p binary").groupBy("block").applyInArrow(mean, "block int, weight binary, p binary").collect():
-        weight = np.frombuffer(r["weight"])
-        value = np.frombuffer(r["p"], np.float32).reshape(len(weight), -1)
+    for r in means.groupBy("block").applyInArrow(mean, kind).collect():
+        ids, value = np.frombuffer(r["ids"], np.int32), np.frombuffer(r["p"], np.float32)
         if r["block"] < 0:
-            for k, v in zip(others, np.split(value.ravel(), np.cumsum([p[k].size for k in others])[:-1]), strict=True):
+            for k, v in zip(others, np.split(value, np.cumsum([p[k].size for k in others])[:-1]), strict=True):
                 out[k] = v.reshape(p[k].shape)
         else:
-            some = np.flatnonzero(weight)
-            out["E"][r["block"] * BLOCK + some] = value[some]
+            out["E"][r["block"] * BLOCK + ids] = value.reshape(len(ids), -1)
     return out
 
 
@@ -563,7 +658,7 @@ def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays(columns, ["h", "n"])
 
 
-def score(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", tokenizer: str = TOKENIZER, share: int = SHARE, steps: int = 400) -> DataFrame:
+def score(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", tokenizer: str = TOKENIZER, share: int = 1, steps: int = 400) -> DataFrame:
     """``doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score`` for every row."""
     spark = docs.sparkSession
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
@@ -592,12 +687,12 @@ def score(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", tokenizer
     runs, rng = seen.filter("i IS NULL").select("k", "run", "w"), np.random.default_rng(5)
     classes = _cluster(subwords, contexts, rng)
     p = _start(subwords, classes, rng)
-    first = runs.orderBy(F.xxhash64("k", "run"), "k", "run", "w").limit(START_ROWS).select("w").collect()
+    first = start_runs(runs).collect()
     if first:
-        rows_ = _unpacked([bytes(r["w"]) for r in first])
+        rows_ = _unpacked([bytes(r["w"]) for r in first], size - 1)
         _fit(p, classes, rows_, (rng.integers(0, len(rows_), 512) for _ in range(steps)), steps, 0.01)
     if n_docs:
-        p = learned(runs, -(-int(subwords.sum()) // (STRIDE * share * GROUP_WINDOWS)), p, classes)
+        p = learned(runs, -(-(int(subwords.sum()) // (STRIDE * share) + n_docs) // GROUP_WINDOWS), p, classes)
     model = _model(tokenizer, p, classes)
     often = counts.filter(F.col("n") >= least).mapInArrow(_packed, "h binary, n binary").collect()
     shared = spark.sparkContext.broadcast((model, np.frombuffer(b"".join(bytes(r["h"]) for r in often), np.uint64), np.frombuffer(b"".join(bytes(r["n"]) for r in often), np.int64)))
