@@ -243,3 +243,39 @@ def test_start_runs(spark, monkeypatch):
     got, again = ([bytes(r["w"]) for r in lm_score.start_runs(runs.repartition(n)).collect()] for n in (2, 7))
     assert got == again and len(set(got)) == 50
     assert lm_score.start_runs(runs.limit(60)).count() == 50 and lm_score.start_runs(runs.limit(9)).count() == 9
+
+
+def test_clusters_are_of_equal_size():
+    """Also where most subwords follow the same ones, so that no cluster costs much more than the others."""
+    rng = np.random.default_rng(8)
+    counts = rng.integers(5, 500, 900)
+    often = lm_score._frequent(counts)[1]
+    contexts = rng.integers(1, 4, (len(often), lm_score.SINGLE + 1))
+    contexts[: len(often) // 2, 0] += 1000
+    classes = lm_score._cluster(counts, contexts, rng)
+    sizes = np.bincount(classes.group[often] - lm_score.SINGLE, minlength=lm_score.CLUSTERS)[:-1]
+    assert sizes.sum() == len(often) and sizes.max() <= -(-len(often) // (lm_score.CLUSTERS - 1))
+    assert (classes.members[classes.cut[classes.group[often] - lm_score.SINGLE] + classes.slot[often]] == often).all()
+
+
+def test_pieces_tell_words_apart_as_their_bytes_do(spark):
+    """Texts are read for their subwords once; what is kept has the same words, also those that are no valid UTF-8."""
+    import pyarrow as pa
+
+    from tracemill.llm import textcodes
+
+    texts = [b"one Two \xff one", b"", b"\xff \xfe two \xef\xbf\xbd \xff\xfe", b" " + b"x" * 300 + "ü ü".encode(), b"One \xfe"]
+    data, offsets = textcodes.string_buffer(pa.array(texts, pa.binary()))
+    words = lm_score.Words(lm_score.TOKENIZER)
+    tokens, lens, per_text, _, seq = words.subwords(data, offsets)
+    lengths = np.add.reduceat(lens, np.cumsum(per_text) - per_text)
+    piece = lm_score.Piece(np.arange(5), np.ones(5, bool), tokens, lengths, *lm_score._odd(data, offsets))
+    h, found, n = piece.words(lm_score.TOKENIZER)
+    assert (found == lens).all() and (n == per_text).all()
+    assert (np.unique(h, return_inverse=True)[1][:, None] == np.unique(h, return_inverse=True)[1]).tolist() == (seq[:, None] == seq).tolist()
+    df = spark.createDataFrame([(k, "a b c " * k) for k in range(9)], "doc_id long, text string").selectExpr("doc_id", "doc_id AS k", "doc_id % 2 = 0 AS training", "text")
+    got = {}
+    for b in lm_score.tokenized(df.repartition(3), lm_score.TOKENIZER).toArrow().to_batches():
+        for k, p in enumerate(lm_score._read(b, words.end)):
+            got |= dict(zip(b.column("ids")[k].as_py(), zip(p.lengths.tolist(), p.training.tolist(), strict=True), strict=True))
+    assert got == {k: (3 * k + 1, k % 2 == 0) for k in range(9)}

@@ -6,6 +6,8 @@ class, and within the class the subword, both from the last input and what atten
 the rare subwords, a class of their own, are told apart by how often they occur. A word's probability,
 the product over its subwords, is mixed in equal parts with the base model's.
 
+Texts are read for their subwords once and kept as ``Piece`` rows, from which words are counted, windows cut and texts scored.
+
 The model learns from all training texts. Its subword counts and classes are
 sums over all of them, and its weights take every window of every text, so that each subword
 and each end is predicted once. They start from a fit on the driver to at most
@@ -109,37 +111,47 @@ class Model:
 
 
 def _within(classes: Classes, w: np.ndarray, w0: np.ndarray, y: np.ndarray, h: np.ndarray, grad: tuple | None = None) -> np.ndarray:
-    """Log probability of each subword in its class, from the rows of ``h``.
+    """Log probability in its class of each subword that has a slot in a cluster, from the rows of ``h``.
 
-    ``grad`` is ``(weight, dh, dw, dw0)``: the weighted gradients of the negated result are added to the last three.
+    ``grad`` is ``(weight, dh, dw, dw0)``: the weighted gradients of the negated result are put into the last three.
     """
-    out = classes.within[y].astype(np.float32)
     slot, of = classes.slot[y], classes.group[y]
-    some = np.flatnonzero(slot >= 0)
-    some = some[np.argsort(of[some].astype(np.uint8), kind="stable")]
-    place, own_h = slot[some], np.take(h, some, axis=0)
-    ends = np.cumsum(np.bincount(of[some] - SINGLE, minlength=CLUSTERS))
-    found, total, own_dh = np.empty(len(some), h.dtype), np.empty(len(some), h.dtype), np.empty_like(own_h) if grad is not None else None
-    weight = grad[0][some] if grad is not None else None
-    for c, (a, b) in enumerate(zip(np.concatenate([[0], ends[:-1]]).tolist(), ends.tolist(), strict=True)):
-        if a == b:
-            continue
-        own, at, mine = slice(classes.cut[c], classes.cut[c + 1]), slice(a, b), np.arange(b - a)
-        z = own_h[at] @ w[own].T
-        z += w0[own]
-        found[at] = z[mine, place[at]]
-        np.exp(z, out=z)
-        total[at] = t = z @ np.ones(z.shape[1], z.dtype)
-        if grad is not None:
-            _, _, dw, dw0 = grad
-            z *= (weight[at] / t)[:, None]
-            z[mine, place[at]] -= weight[at]
-            own_dh[at] = z @ w[own]
-            dw[own] += z.T @ own_h[at]
-            dw0[own] += np.ones(b - a, z.dtype) @ z
-    out[some] = found - np.log(total)
+    order = np.argsort(of.astype(np.uint8), kind="stable")
+    own_h = np.ones((len(y), h.shape[1] + 1), h.dtype)
+    np.take(h, order, axis=0, out=(sorted_h := np.empty_like(h)), mode="clip")
+    own_h[:, :-1] = sorted_h
+    both = np.hstack([w, w0[:, None]])
+    # The logits of all clusters lie end to end.
+    n, cut = np.bincount(of - SINGLE, minlength=CLUSTERS)[: CLUSTERS - 1], np.append(classes.cut[1:], len(classes.members))[: CLUSTERS - 1]
+    wide = np.diff(cut, prepend=0)
+    ends, stop = np.cumsum(n), np.cumsum(n * wide)
+    z, total, ones = np.empty(stop[-1], h.dtype), np.empty(len(y), h.dtype), np.ones(wide.max(), h.dtype)
+    views = [
+        (z[e - k * m : e].reshape(k, m), slice(b - k, b), slice(c - m, c))
+        for k, m, e, b, c in zip(n.tolist(), wide.tolist(), stop.tolist(), ends.tolist(), cut.tolist(), strict=True) if k
+    ]
+    for own, at, members in views:
+        np.matmul(own_h[at], both[members].T, out=own)
+    target = np.repeat(stop - ends * wide, n) + np.arange(len(y)) * np.repeat(wide, n) + slot[order]
+    found = z[target]
+    np.exp(z, out=z)
+    for own, at, _ in views:
+        np.matmul(own, ones[: own.shape[1]], out=total[at])
     if grad is not None:
-        grad[1][some] = own_dh
+        weight, dh, dw, dw0 = grad
+        weight = weight[order]
+        share = (weight / total)[:, None]
+        for own, at, _ in views:
+            own *= share[at]
+        z[target] -= weight
+        d_both = np.zeros_like(both)
+        for own, at, members in views:
+            np.matmul(own, w[members], out=sorted_h[at])
+            np.matmul(own.T, own_h[at], out=d_both[members])
+        dh[order] = sorted_h
+        dw[:], dw0[:] = d_both[:, :-1], d_both[:, -1]
+    out = np.empty(len(y), h.dtype)
+    out[order] = found - np.log(total)
     return out
 
 
@@ -156,7 +168,7 @@ def _causal() -> np.ndarray:
     return np.where(j <= i, 0.0, -1e9).astype(np.float32)
 
 
-def token_scores(model: Model, tokens: np.ndarray, lengths: np.ndarray, at_once: int = 1024) -> np.ndarray:
+def token_scores(model: Model, tokens: np.ndarray, lengths: np.ndarray, at_once: int = 512) -> np.ndarray:
     """Natural log probability of every token; each text's first input is the end token."""
     begins = np.cumsum(lengths) - lengths
     inputs = np.empty(len(tokens), np.int64)
@@ -164,32 +176,39 @@ def token_scores(model: Model, tokens: np.ndarray, lengths: np.ndarray, at_once:
     inputs[begins[lengths > 0]] = model.n
     text, first = _windows(lengths)
     out = np.empty(len(tokens), np.float32)
-    offsets, half = np.arange(-STRIDE, STRIDE), np.arange(STRIDE)
+    half = np.arange(STRIDE)
     ones = np.ones(model.mixed.shape[1], np.float32)
     for lo in range(0, len(text), at_once):
         t, f = text[lo : lo + at_once], first[lo : lo + at_once]
-        at = begins[t][:, None] + f[:, None] + offsets
-        at[f == 0, :STRIDE] = begins[t[f == 0]][:, None]
-        np.minimum(at, len(tokens) - 1, out=at)
-        ids = inputs[at]
-        mine = ids[:, STRIDE:]
-        logits = np.matmul(np.take(model.query, mine, axis=0), np.take(model.key, ids, axis=0).transpose(0, 2, 1))
+        # The inputs in blocks of STRIDE, and the block before them: a window is two blocks side by side.
+        back = max(lo - 1, 0)
+        t_, f_ = np.append(text[back], t), np.append(first[back], f)
+        at = (begins[t_] + f_)[:, None] + half
+        ids = inputs[np.minimum(at, (begins + lengths - 1)[t_][:, None])]
+        mine = ids[1:].ravel()
+        key, value = (np.take(table, ids.ravel(), axis=0) for table in (model.key, model.value))
+        key, value = (np.lib.stride_tricks.as_strided(x, (len(t), 2 * STRIDE, x.shape[1]), (STRIDE * x.strides[0], *x.strides), writeable=False) for x in (key, value))
+        logits = np.matmul(np.take(model.query, mine, axis=0).reshape(len(t), STRIDE, DIM), key.transpose(0, 2, 1))
         logits += model.bias
         logits[f == 0, :, :STRIDE] = -1e9
         np.exp(logits, out=logits)
         # The last column of the values is 1 and gives the weights' sum.
-        attended = np.matmul(logits, np.take(model.value, ids, axis=0)).reshape(-1, DIM + 1)
+        attended = np.matmul(logits, value).reshape(-1, DIM + 1)
         attended = attended[:, :DIM] / attended[:, DIM:]
-        classes = np.take(model.out, mine.ravel(), axis=0)
+        classes = np.take(model.out, mine, axis=0)
         classes += attended @ model.mixed
-        ok = (half + f[:, None] < lengths[t][:, None]).ravel()
-        where = at[:, STRIDE:].ravel()[ok]
+        rows = np.flatnonzero((at[1:] < (begins + lengths)[t][:, None]).ravel())
+        where = at[1:].ravel()[rows]
         y = tokens[where]
-        rows = np.flatnonzero(ok)
         picked = classes[rows, model.classes.group[y]]
         np.exp(classes, out=classes)
-        h = np.take(model.inner, mine.ravel()[rows], axis=0) + np.take(attended, rows, axis=0) @ model.inner_mixed
-        out[where] = picked - np.log((classes @ ones)[rows]) + _within(model.classes, model.w, model.w0, y, h)
+        inside = model.classes.within[y]
+        if len(some := np.flatnonzero(model.classes.slot[y] >= 0)):
+            of = rows[some]
+            h = np.take(attended, of, axis=0) @ model.inner_mixed
+            h += np.take(model.inner, mine[of], axis=0)
+            inside[some] = _within(model.classes, model.w, model.w0, y[some], h)
+        out[where] = picked - np.log((classes @ ones)[rows]) + inside
     return out
 
 
@@ -243,6 +262,72 @@ class Words:
         return tokens, lens, words + 1, uniq, seq
 
 
+@dataclass
+class Piece:
+    """Subwords of some texts in a row, the end token after each."""
+
+    keys: np.ndarray
+    training: np.ndarray  # whether a text is learned from
+    tokens: np.ndarray
+    lengths: np.ndarray  # of the texts, in subwords
+    odd: np.ndarray  # places, among all words, of those that are no valid UTF-8, whose subwords do not tell them apart
+    odd_h: np.ndarray  # and their hashes
+
+    def learned(self) -> tuple[np.ndarray, np.ndarray]:
+        """The subwords and lengths of the texts that are learned from."""
+        return self.tokens[np.repeat(self.training, self.lengths)], self.lengths[self.training]
+
+    def words(self, path: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Hashes of all words, each text's end a word too; how many subwords each word has, and how many words each text."""
+        _, end, opens = _encoding(path)
+        begins = opens[np.minimum(self.tokens, end - 1)] | (self.tokens == end)
+        at = np.flatnonzero(begins)
+        lens = np.diff(at, append=len(self.tokens))
+        h = textcodes.run_hashes(self.tokens, at, lens)
+        h[self.odd] = self.odd_h
+        return h, lens, np.add.reduceat(begins, np.cumsum(self.lengths) - self.lengths, dtype=np.int64)
+
+
+def _odd(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places and hashes of the words that are no valid UTF-8."""
+    raw = data.tobytes()
+    try:
+        raw.decode("utf-8")
+    except UnicodeDecodeError:
+        h, text, start, end = textcodes.word_hashes(data, offsets)
+        at = [k for k, (a, b) in enumerate(zip(start.tolist(), end.tolist(), strict=True)) if raw[a:b].decode("utf-8", "ignore").encode() != raw[a:b]]
+        return np.array(at, np.int64) + text[at], h[at]
+    return np.zeros(0, np.int64), np.zeros(0, np.uint64)
+
+
+def tokenized(texts: DataFrame, path: str) -> DataFrame:
+    """The texts ``doc_id, k, training, text`` in pieces of about a megabyte, so that their subwords are looked for once: a ``Piece`` in a row, and its ids."""
+    kind = dict(texts.dtypes)["doc_id"]
+    names = ["ids", "k", "training", "tokens", "lengths", "odd", "odd_h"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words = Words(path)
+        narrow = np.uint16 if words.end < 1 << 16 else np.int32
+        for batch in batches:
+            ids, keys, training = batch.column("doc_id"), np.asarray(batch.column("k")).astype(np.int64), np.asarray(batch.column("training")).astype(bool)
+            for first, last, data, offsets in textcodes.pieces(batch.column("text")):
+                tokens, lens, per_text, _, _ = words.subwords(data, offsets)
+                lengths = np.add.reduceat(lens, np.cumsum(per_text) - per_text)
+                parts = keys[first:last], training[first:last], tokens.astype(narrow), lengths.astype(np.int32), *_odd(data, offsets)
+                own = pa.ListArray.from_arrays(pa.array([0, last - first], pa.int32()), ids.slice(first, last - first))
+                yield pa.RecordBatch.from_arrays([own, *(pa.array([x.tobytes()], pa.binary()) for x in parts)], names)
+
+    return texts.select("doc_id", "k", "training", "text").mapInArrow(run, f"ids array<{kind}>, " + ", ".join(f"{n} binary" for n in names[1:]))
+
+
+def _read(batch: pa.RecordBatch, end: int) -> Iterator[Piece]:
+    """The pieces of rows of ``tokenized``."""
+    kinds = np.int64, bool, np.uint16 if end < 1 << 16 else np.int32, np.int32, np.int64, np.uint64
+    for row in zip(*(batch.column(c) for c in ("k", "training", "tokens", "lengths", "odd", "odd_h")), strict=True):
+        keys, training, tokens, lengths, odd, odd_h = (np.frombuffer(x.as_buffer(), kind) for x, kind in zip(row, kinds, strict=True))
+        yield Piece(keys, training, tokens.astype(np.int64), lengths.astype(np.int64), odd, odd_h)
+
+
 def _sequences(column: pa.Array, words: Words) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """Subwords of the texts in a row, what precedes each, and the texts' lengths in subwords, by pieces of the column."""
     for _, _, data, offsets in textcodes.pieces(column):
@@ -288,6 +373,16 @@ def _contexts(counts: np.ndarray, tokens: np.ndarray, inputs: np.ndarray) -> np.
     return np.bincount(slot[tokens[ok]] * (SINGLE + 1) + mark[inputs[ok]], minlength=len(often) * (SINGLE + 1))
 
 
+def _near(table: np.ndarray, centre: np.ndarray) -> np.ndarray:
+    """The nearest centre of each row that has room: as many rows go to each, so that no cluster costs much more than another. The first rows choose first."""
+    prefer = np.argsort((centre**2).sum(axis=1) - table @ centre.T * 2, axis=1, kind="stable")
+    room, near = [-(-len(table) // len(centre))] * len(centre), np.empty(len(table), np.int64)
+    for k, choices in enumerate(prefer.tolist()):
+        near[k] = c = next(c for c in choices if room[c])
+        room[c] -= 1
+    return near
+
+
 def _cluster(counts: np.ndarray, contexts: np.ndarray, rng: np.random.Generator) -> Classes:
     """Classes of subwords: one each for the most frequent, clusters by what precedes them for the others, and one for the rare."""
     single, often = _frequent(counts)
@@ -298,7 +393,7 @@ def _cluster(counts: np.ndarray, contexts: np.ndarray, rng: np.random.Generator)
         table = np.sqrt(table / table.sum(axis=1, keepdims=True))
         centre = table[rng.choice(len(often), CLUSTERS - 1, replace=False)]
         for _ in range(12):
-            near = np.argmax(table @ centre.T * 2 - (centre**2).sum(axis=1), axis=1)
+            near = _near(table, centre)
             for k in range(CLUSTERS - 1):
                 if (near == k).any():
                     centre[k] = table[near == k].mean(axis=0)
@@ -377,7 +472,10 @@ def _fit(p: dict[str, np.ndarray], classes: Classes, rows: np.ndarray, picks: It
         z[own, y] -= weight
         dh, dw, dw0 = np.zeros((n * STRIDE, DIM), kind), np.zeros_like(p["W"]), np.zeros_like(p["w"])
         np.clip(p["W"], -5, 5, out=p["W"])
-        _within(classes, p["W"], p["w"], tokens, x[:, : 2 * DIM] @ inner, (weight, dh, dw, dw0))
+        if len(some := np.flatnonzero(classes.slot[tokens] >= 0)):
+            part = np.empty((len(some), DIM), kind)
+            _within(classes, p["W"], p["w"], tokens[some], np.take(x[:, : 2 * DIM] @ inner, some, axis=0), (weight[some], part, dw, dw0))
+            dh[some] = part
         g_outer, g_inner = x.T @ z, x[:, : 2 * DIM].T @ dh
         g = {"C": g_outer[:DIM], "A": g_outer[DIM : 2 * DIM], "c": g_outer[2 * DIM], "H": g_inner[:DIM], "G": g_inner[DIM:], "W": dw, "w": dw0}
         dx = z @ outer[: 2 * DIM].T
@@ -387,12 +485,13 @@ def _fit(p: dict[str, np.ndarray], classes: Classes, rows: np.ndarray, picks: It
         np.multiply(dx[:, DIM:].reshape(a.shape), inverse * kind.type(attention), out=da[:, :, :DIM])
         np.negative(np.matmul((da[:, :, :DIM] * a).reshape(-1, DIM), np.ones(DIM, kind)).reshape(n, STRIDE), out=da[:, :, DIM])
         both = np.empty((n, 2 * STRIDE, 2 * DIM), kind)
-        both[:, :, DIM:] = np.matmul(s.transpose(0, 2, 1), da[:, :, :DIM])
+        np.matmul(s.transpose(0, 2, 1), da[:, :, :DIM], out=both[:, :, DIM:])
         s *= np.matmul(da, v.transpose(0, 2, 1))
-        both[:, :, :DIM] = np.matmul(s.transpose(0, 2, 1), q)
+        np.matmul(s.transpose(0, 2, 1), q, out=both[:, :, :DIM])
         g["b"] = np.bincount(distance.ravel(), np.ones(n, kind) @ s.reshape(n, -1), minlength=2 * STRIDE)
         dq = np.empty((n, STRIDE, 2 * DIM), kind)
-        dq[:, :, :DIM], dq[:, :, DIM:] = np.matmul(s, k), dx[:, :DIM].reshape(a.shape)
+        np.matmul(s, k, out=dq[:, :, :DIM])
+        dq[:, :, DIM:] = dx[:, :DIM].reshape(a.shape)
         # Sums by subword, then through the tables.
         of = back.ravel().astype(np.uint16) if len(used) < 1 << 16 else back.ravel()
         order = np.argsort(of, kind="stable")
@@ -489,16 +588,24 @@ def window_rows(texts: DataFrame, path: str, share: int, subwords: np.ndarray) -
 
     Rows with ``i`` add ``n`` to the place ``i`` of the classes' ``_contexts``, which are summed over all texts.
     """
-    names = ["k", "run", "w", "i", "n"]
+    return _window_rows(tokenized(texts.select("k", "text", F.lit(0).alias("doc_id"), F.lit(True).alias("training")), path), share, subwords)
+
+
+def _window_rows(pieces: DataFrame, share: int, subwords: np.ndarray) -> DataFrame:
+    names, end = ["k", "run", "w", "i", "n"], len(subwords) - 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, contexts = Words(path), 0
+        contexts = 0
         for batch in batches:
-            keys, at = np.asarray(batch.column("k")), 0
-            for tokens, inputs, lengths in _sequences(batch.column("text"), words):
+            for piece in _read(batch, end):
+                tokens, lengths = piece.learned()
+                if not len(lengths):
+                    continue
+                inputs = np.empty(len(tokens), np.int64)
+                inputs[1:] = tokens[:-1]
+                inputs[np.cumsum(lengths) - lengths] = end
                 contexts = contexts + _contexts(subwords, tokens, inputs)
-                own = keys[at : at + len(lengths)]
-                at += len(lengths)
+                own = piece.keys[piece.training]
                 # Adjacent windows, at most RUN of them, are a run.
                 text, first = _windows(lengths)
                 wide, number = RUN if share == 1 else 1, first // STRIDE
@@ -506,12 +613,12 @@ def window_rows(texts: DataFrame, path: str, share: int, subwords: np.ndarray) -
                 text, number = text[begin], number[begin]
                 last = np.minimum(number + wide, -(-lengths[text] // STRIDE))
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(own[text]), pa.array(number.astype(np.int64)), _packed_runs(tokens, lengths, words.end, text, number, last), pa.nulls(len(begin), pa.int32()), pa.nulls(len(begin), pa.int64())], names
+                    [pa.array(own[text]), pa.array(number.astype(np.int64)), _packed_runs(tokens, lengths, end, text, number, last), pa.nulls(len(begin), pa.int32()), pa.nulls(len(begin), pa.int64())], names
                 )
         if len(at := np.flatnonzero(contexts)):
             yield pa.RecordBatch.from_arrays([*(pa.nulls(len(at), t) for t in (pa.int64(), pa.int64(), pa.binary())), pa.array(at.astype(np.int32)), pa.array(contexts[at].astype(np.int64))], names)
 
-    return texts.mapInArrow(run, "k long, run long, w binary, i int, n long")
+    return pieces.drop("ids").mapInArrow(run, "k long, run long, w binary, i int, n long")
 
 
 def start_runs(runs: DataFrame) -> DataFrame:
@@ -595,11 +702,13 @@ def held_out(doc_id: Column) -> Column:
 
 def word_counts(texts: DataFrame, path: str) -> DataFrame:
     """``h, n, subword``: how often each word occurs, by its hash, and each subword, by its id."""
+    return _word_counts(tokenized(texts.select("text", F.lit(0).alias("doc_id"), F.lit(0).alias("k"), F.lit(True).alias("training")), path), path)
+
+
+def _word_counts(pieces: DataFrame, path: str) -> DataFrame:
     shift = np.uint64(64 - (RANGES.bit_length() - 1))
 
     def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = Words(path)
-
         def flush(held: list[tuple[np.ndarray, np.ndarray]], subwords: np.ndarray) -> pa.RecordBatch:
             h, inv = np.unique(np.concatenate([x for x, _ in held]), return_inverse=True)
             n = np.bincount(inv, np.concatenate([x for _, x in held]))
@@ -609,16 +718,19 @@ def word_counts(texts: DataFrame, path: str) -> DataFrame:
             rows.append((RANGES, used.astype("<u8").tobytes(), subwords[used].astype("<u4").tobytes()))
             return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary()), pa.array([r[2] for r in rows], pa.binary())], ["range", "h", "n"])
 
-        held, size, subwords = [], 0, np.zeros(words.end + 1, np.int64)
+        end = _encoding(path)[1]
+        held, size, subwords = [], 0, np.zeros(end + 1, np.int64)
         for batch in batches:
-            for _, _, data, offsets in textcodes.pieces(batch.column("text")):
-                tokens, _, per_text, uniq, seq = words.subwords(data, offsets)
-                subwords += np.bincount(tokens, minlength=len(subwords))
-                held.append((uniq, np.bincount(seq, minlength=len(uniq) + 1)[:-1]))
-                size += int(per_text.sum())
+            for piece in _read(batch, end):
+                h, lens, words = piece.words(path)
+                word = np.repeat(piece.training, words)
+                word[np.cumsum(words) - 1] = False  # the ends are counted as subwords only
+                held.append(np.unique(h[word], return_counts=True))
+                subwords += np.bincount(piece.learned()[0], minlength=len(subwords))
+                size += int(words[piece.training].sum())
                 if size > 1 << 22:
                     yield flush(held, subwords)
-                    held, size, subwords = [], 0, np.zeros(words.end + 1, np.int64)
+                    held, size, subwords = [], 0, np.zeros(end + 1, np.int64)
         if size:
             yield flush(held, subwords)
 
@@ -628,7 +740,7 @@ def word_counts(texts: DataFrame, path: str) -> DataFrame:
         h, inv = np.unique(h, return_inverse=True)
         return pa.table({"h": pa.array(h.view(np.int64)), "n": pa.array(np.bincount(inv, n, minlength=len(h)).astype(np.int64)), "subword": pa.array([t.column("range")[0].as_py() == RANGES] * len(h))})
 
-    return texts.mapInArrow(partial, "range int, h binary, n binary").groupBy("range").applyInArrow(total, "h long, n long, subword boolean")
+    return pieces.drop("ids").mapInArrow(partial, "range int, h binary, n binary").groupBy("range").applyInArrow(total, "h long, n long, subword boolean")
 
 
 class Lookup:
@@ -662,11 +774,12 @@ def score(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", tokenizer
     """``doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score`` for every row."""
     spark = docs.sparkSession
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    training = rows.filter(~held_out(F.col("doc_id")))
-    both = common.staged(word_counts(training.select("text"), tokenizer), "words")
+    key = F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.col("text"))
+    pieces = common.staged(tokenized(rows.select("doc_id", key.alias("k"), (~held_out(F.col("doc_id"))).alias("training"), "text"), tokenizer), "subwords")
+    both = common.staged(_word_counts(pieces, tokenizer), "words")
     counts = both.filter("NOT subword").select("h", "n")
     total = counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
-    n_docs = training.count()
+    n_docs = rows.filter(~held_out(F.col("doc_id"))).count()
     n_all, distinct = total["n"] + n_docs, total["v"] + (n_docs > 0)
     # The least count with which the words at or above it are within the bound.
     levels = {r["level"]: r["k"] for r in counts.groupBy(F.floor(F.log2("n")).alias("level")).agg(F.count("*").alias("k")).collect()}
@@ -679,8 +792,7 @@ def score(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", tokenizer
     subwords = np.zeros(size, np.int64)
     for r in both.filter("subword").collect():  # at most one row for each entry of the tokenizer
         subwords[r["h"]] = r["n"]
-    key = F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.col("text"))
-    seen = common.staged(window_rows(training.select(key.alias("k"), "text"), tokenizer, share, subwords), "windows")
+    seen = common.staged(_window_rows(pieces, share, subwords), "windows")
     contexts = np.zeros(len(_frequent(subwords)[1]) * (SINGLE + 1), np.int64)
     for r in seen.filter("i IS NOT NULL").groupBy("i").agg(F.sum("n").alias("n")).collect():
         contexts[r["i"]] = r["n"]
@@ -701,15 +813,16 @@ def score(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", tokenizer
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model, h, n = shared.value
-        lookup, words = Lookup(h, n), Words(model.path)
+        lookup = Lookup(h, n)
         row = TaskContext.get().partitionId() << 40
         for batch in batches:
-            for first, last, data, offsets in textcodes.pieces(batch.column("text")):
-                tokens, lens, per_text, uniq, seq = words.subwords(data, offsets)
+            for k, piece in enumerate(_read(batch, model.n)):
+                tokens, lengths = piece.tokens, piece.lengths
+                words, lens, per_text = piece.words(model.path)
                 begin = np.cumsum(per_text) - per_text
-                lengths = np.add.reduceat(lens, begin)
                 by_word = np.add.reduceat(token_scores(model, tokens, lengths).astype(np.float64), np.cumsum(lens) - lens)
-                c = np.append(lookup(uniq), end_count)[seq]
+                c = lookup(words)
+                c[begin + per_text - 1] = end_count
                 found = c > 0
                 found[begin + per_text - 1] = True  # the end is always counted here
                 base = np.where(found, np.log10((c + 1) / denominator), 0.0)
@@ -717,19 +830,19 @@ def score(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", tokenizer
                 rest = np.flatnonzero(~found)
                 of = np.searchsorted(begin, rest, "right") - 1
                 cuts = np.concatenate([[0], np.cumsum(np.bincount(of, minlength=len(per_text)))]).astype(np.int32)
-                tail = pa.StructArray.from_arrays([pa.array(uniq[seq[rest]].view(np.int64)), pa.array(by_word[rest])], ["h", "lp"])
+                tail = pa.StructArray.from_arrays([pa.array(words[rest].view(np.int64)), pa.array(by_word[rest])], ["h", "lp"])
                 yield pa.RecordBatch.from_arrays(
                     [
-                        pa.array(row + np.arange(last - first)), batch.column("doc_id").slice(first, last - first), pa.array(per_text.astype(np.int64)),
+                        pa.array(row + np.arange(len(per_text))), batch.column("ids")[k].values, pa.array(per_text),
                         pa.array(np.add.reduceat((c > 0).astype(np.int64), begin)), pa.array(np.add.reduceat(base, begin)), pa.array(np.add.reduceat(both, begin)),
                         pa.ListArray.from_arrays(pa.array(cuts), tail),
                     ],
                     ["row", "doc_id", "n_tokens", "known", "base", "both", "tail"],
                 )
-                row += last - first
+                row += len(per_text)
 
     kind = dict(rows.dtypes)["doc_id"]
-    scored = common.staged(rows.mapInArrow(run, f"row long, doc_id {kind}, n_tokens long, known long, base double, both double, tail array<struct<h:bigint,lp:double>>"), "scores")
+    scored = common.staged(pieces.mapInArrow(run, f"row long, doc_id {kind}, n_tokens long, known long, base double, both double, tail array<struct<h:bigint,lp:double>>"), "scores")
     # Words that did not travel: by a join with all counts.
     tail = scored.select("row", F.explode("tail").alias("x")).select("row", "x.h", "x.lp").join(counts, "h", "left")
     c = F.coalesce("n", F.lit(0))

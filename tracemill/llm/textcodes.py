@@ -117,6 +117,14 @@ def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
     return h, text, start, end
 
 
+def run_hashes(numbers: np.ndarray, start: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Hash of every run of numbers that begins there and has this size, in order."""
+    up, down = powers(len(numbers))
+    total = np.zeros(len(numbers) + 1, np.uint64)
+    np.cumsum(mix((numbers.astype(np.uint64) + np.uint64(1)) * _GOLD) * up[: len(numbers)], out=total[1:])
+    return mix((total[start + sizes] - total[start]) * down[start] + sizes.astype(np.uint64))
+
+
 def shingle_sets(data: np.ndarray, offsets: np.ndarray, width: int) -> list[np.ndarray]:
     """For each text the sorted distinct hashes of its word shingles; a shorter text is one shingle."""
     h, text, _, _ = word_hashes(data, offsets)
